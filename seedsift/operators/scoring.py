@@ -182,7 +182,6 @@ class StepSearch:
             return Iteration(
                 min(n, self.n_features) - 1, posting_scores(self._postings, first)
             )
-        scores = resume_scores(
-            previous.scores, self._postings, self.features, previous.number, n
-        )
-        return Iteration(min(previous.number + n, self.n_features - 1), scores)
+        scores = resume_scores(previous.scores, self._postings, self.features, previous.number, n)
+        # Written out, so that a long series of steps does not pile up lineage.
+        return Iteration(min(previous.number + n, self.n_features - 1), settle(scores, "step"))

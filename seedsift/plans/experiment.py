@@ -6,7 +6,7 @@ documents from test documents by its prefix. All tags are handled in the same jo
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ from seedsift.sources.seeds import MEMBER
 @dataclass(frozen=True)
 class ExperimentOptions:
     n_features: int = FEATURES_EXPERIMENT
-    learn: LearnOptions = field(default_factory=LearnOptions)
+    learn: LearnOptions = LearnOptions()
 
 
 def train(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ class SearchOptions:
     k: int = TOP_K
     worst_first: bool = False
     field: str = "lemmas"
-    learn: LearnOptions = field(default_factory=LearnOptions)
+    learn: LearnOptions = LearnOptions()
 
 
 def search_by_example(
