@@ -177,7 +177,7 @@ def features(n: int) -> str:
 
 
 SCORED = """scores AS (
-  SELECT f.klass, s.doc_id, round(sum(f.log_likelihood), 12) AS score
+  SELECT f.klass, s.doc_id, round(sum(f.log_likelihood), 9) AS score
   FROM postings s JOIN features f USING (term) GROUP BY ALL)"""
 
 
@@ -388,7 +388,7 @@ WHERE klass = {MEMBER} AND rank <= 51""",
   FROM postings s JOIN features f USING (term))""",
     "resumed_scores": scored(50) + f"SELECT klass, doc_id, {num('score')} FROM scores",
     "member_flags": scored(50)
-    + f"SELECT doc_id, score > 0 AS is_member, {num('exp(score)', 'odds')} FROM scores",
+    + "SELECT doc_id, score > 0 AS is_member, printf('%.6e', exp(score)) AS odds FROM scores",
     "search_top20": search(),
     "search_stored_index_top20": search(),
     "search_quality_worst_first": search(QUALITY),

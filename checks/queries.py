@@ -385,11 +385,10 @@ def resumed_scores(spark, sf_dir):
 @query
 def member_flags(spark, sf_dir):
     scores = posting_scores(text_postings(spark, sf_dir), toxic_features(spark, sf_dir, 50))
-    return rounded(
-        scores.select(
-            "doc_id", is_member(F.col("score")).alias("is_member"), odds(F.col("score")).alias("odds")
-        ),
-        "odds",
+    return scores.select(
+        "doc_id",
+        is_member(F.col("score")).alias("is_member"),
+        F.format_string("%.6e", odds(F.col("score"))).alias("odds"),
     )
 
 
@@ -535,5 +534,6 @@ def active_learning_rounds(spark, sf_dir):
     seeds = picks.select(
         F.explode(F.array(*[F.lit(x) for x in languages])).alias("target"), "doc_id", own
     ).select(F.col("target").alias("klass"), "doc_id", (F.col("target") == own).alias("gold"))
-    rounds = ex.active_learning(docs, ix.postings(docs), seeds, batch="double")
+    index = ix.build_index(docs, scratch_path(spark, "index"))
+    rounds = ex.active_learning(index.docs, index.text, seeds, batch="double")
     return shown(rounds, "p", "r", "f1")

@@ -3,7 +3,7 @@
 Posting scores count a (document, term) pair once and return only documents with a selected
 feature. Document scores count every token occurrence and return 0.0 for a document without any.
 
-Sums are rounded to 12 decimals: the order in which tasks deliver their parts then changes
+Sums are rounded to 9 decimals: the order in which tasks deliver their parts then changes
 neither a ranking nor the decision ``score > 0``.
 """
 
@@ -31,12 +31,13 @@ from seedsift.sources.index import restrict_to_terms
 FEATURES_EXPERIMENT = 50
 FEATURES_SEARCH = 51  # the search tool stops after the step with index 50
 PUSHED_TERMS = 500
+SCORE_DECIMALS = 9
 
 _FEATURE_COLUMNS = ("klass", "term", "rank", "log_likelihood")
 
 
 def _rounded(total: Column) -> Column:
-    return F.round(total, 12)
+    return F.round(total, SCORE_DECIMALS)
 
 
 def posting_hits(term_postings: DataFrame, features: DataFrame) -> DataFrame:

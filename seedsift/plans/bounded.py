@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,7 +127,9 @@ def in_list(column: str, values: Sequence, spark: SparkSession) -> Column:
     values = list(values)
     if not values:
         return F.lit(False)
-    test = F.col(column).isin(values[:step])
-    for start in range(step, len(values), step):
-        test = test | F.col(column).isin(values[start : start + step])
-    return test
+    chunks = [values[start : start + step] for start in range(0, len(values), step)]
+    if all(isinstance(value, int) for value in values):
+        # One expression instead of a call per number.
+        tests = [f"{column} IN ({', '.join(map(str, chunk))})" for chunk in chunks]
+        return F.expr(" OR ".join(tests))
+    return reduce(or_, [F.col(column).isin(chunk) for chunk in chunks])
