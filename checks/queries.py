@@ -524,10 +524,7 @@ def active_learning_rounds(spark, sf_dir):
     first = ex.with_roles(docs).filter("is_training").select(
         "doc_id", "id", F.explode("klasses").alias("klass")
     )
-    picks = settle(
-        ex.choose_examples(first, first, batch=1, strategy="random", seed=7).select("klass", "doc_id"),
-        "first-examples",
-    )
+    picks = settle(ex.first_examples(first, seed=7).select("klass", "doc_id"), "first-examples")
     # The first example of a language is a negative example of every other one.
     languages = sorted(row["klass"] for row in picks.select("klass").collect())
     own = F.col("klass")

@@ -29,31 +29,36 @@ def confusion(ranked: DataFrame) -> DataFrame:
     )
 
 
-def _positions(ranked: DataFrame) -> DataFrame:
-    """Adds ``position`` and ``tp`` along the ranking, without a one-task sort per class."""
+def with_positions(ranked: DataFrame, group=("klass",), order=None) -> DataFrame:
+    """Adds ``position`` and ``tp`` along each ranking, without a one-task sort per class."""
     return prefix_sums(
         ranked,
-        ["klass"],
-        [F.col("score").desc(), F.col("id")],
+        list(group),
+        order or [F.col("score").desc(), F.col("id")],
         {"position": F.lit(1).cast("bigint"), "tp": F.col("gold").cast("bigint")},
     )
 
 
 def precision_recall_curve(ranked: DataFrame, sizes: DataFrame) -> DataFrame:
-    curve = keyed_join(_positions(ranked), sizes, ["klass"])
+    curve = keyed_join(with_positions(ranked), sizes, ["klass"])
     return curve.withColumns(
         precision_recall_f1(F.col("tp"), F.col("position"), F.col("n_gold"))
     )
 
 
 def break_even(ranked: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The break-even point of rankings that have no positions yet."""
+    return break_even_at(with_positions(ranked), sizes)
+
+
+def break_even_at(positioned: DataFrame, sizes: DataFrame) -> DataFrame:
     """(klass, n_gold, position, p, r, f1) where recall first reaches precision.
 
     With equal true positives, recall reaches precision exactly when the list is as long as the
     class. If the list ends before, its end counts; a class with nothing retrieved has no
     precision (NaN).
     """
-    along = keyed_join(_positions(ranked), sizes, ["klass"])
+    along = keyed_join(positioned, sizes, ["klass"])
     here = F.struct("position", "tp")
     reached = (F.col("tp") > 0) & (F.col("position") >= F.col("n_gold"))
     found = along.groupBy("klass").agg(

@@ -29,16 +29,17 @@ def random_key(seed: int, id_col: str = "id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
-def example_order(strategy: str = "top", seed: int = 0) -> list[Column]:
-    """``top``: highest score, ``uncertain``: closest to zero, ``random``: any."""
-    first = {
-        "top": lambda: F.col("score").desc(),
-        "uncertain": lambda: F.abs("score").asc(),
-        "random": lambda: random_key(seed).asc(),
-    }[strategy]()
-    return [first, F.col("id")]
+def example_key(strategy: str = "top", seed: int = 0) -> Column:
+    """What sorts first is labelled first. ``top``: highest score, ``uncertain``: closest to
+    zero, ``random``: any."""
+    keys = {
+        "top": lambda: -F.col("score"),
+        "uncertain": lambda: F.abs("score"),
+        "random": lambda: random_key(seed),
+    }
+    return keys[strategy]()
 
 
 def next_example(candidates: DataFrame, strategy: str = "top", seed: int = 0) -> DataFrame:
     """The one unlabelled training document (id, score) to label next."""
-    return candidates.orderBy(*example_order(strategy, seed)).limit(1)
+    return candidates.orderBy(example_key(strategy, seed), "id").limit(1)

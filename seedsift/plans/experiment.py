@@ -12,18 +12,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedsift.operators.counts import count_terms_by_problem, count_terms_one_vs_rest
-from seedsift.operators.evaluate import break_even
+from seedsift.operators.evaluate import break_even, break_even_at, with_positions
 from seedsift.operators.labels import (
     TEST_PREFIX,
     TRAINING_PREFIX,
     has_prefix,
     labels_from_id_sets,
 )
-from seedsift.operators.learn import GROUP_LIMIT, LearnOptions, learn, score_counts, top_features
-from seedsift.operators.ranking import example_order
+from seedsift.operators.learn import LearnOptions, learn, score_counts, top_features
+from seedsift.operators.ranking import example_key
 from seedsift.operators.scoring import FEATURES_EXPERIMENT, posting_scores
 from seedsift.plans.bounded import keyed_join, scratch_path, settle
-from seedsift.plans.prefix import ranks
 from seedsift.sources.index import tag_array
 from seedsift.sources.seeds import MEMBER
 
@@ -107,38 +106,21 @@ def one_vs_rest(
     docs: DataFrame, term_postings: DataFrame, options: ExperimentOptions = ExperimentOptions()
 ) -> DataFrame:
     """(klass, n_train, n_pos, n_neg, p, r, f1) at the break-even point of every tag."""
+    overview = settle(class_overview(with_roles(docs)), "overview")
     scores = one_vs_rest_scores(docs, term_postings, options)
-    return evaluate(scores, class_overview(with_roles(docs)))
-
-
-def evaluate(scores: DataFrame, overview: DataFrame) -> DataFrame:
     ranked = scores.filter("is_test").select("klass", "id", "score", "gold")
-    points = break_even(ranked, overview.select("klass", "n_gold"))
-    return overview.drop("n_gold").join(points.select("klass", "p", "r", "f1"), "klass")
+    return _report(break_even(ranked, overview.select("klass", "n_gold")), overview)
 
 
-def unlabelled_training(scores: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Retrieved training documents that are not labelled for the class yet."""
-    return scores.filter("is_training").join(
-        labelled.select("klass", "doc_id"), ["klass", "doc_id"], "left_anti"
-    )
+def _report(points: DataFrame, overview: DataFrame) -> DataFrame:
+    return overview.drop("n_gold").join(points.select("klass", "p", "r", "f1"), "klass")
 
 
-def choose_examples(
-    candidates: DataFrame, labelled: DataFrame, batch: int | str = 1, strategy: str = "top", seed: int = 0
-) -> DataFrame:
-    """The next documents to label per class: ``batch`` of them, or with ``"double"`` as many as
-    the class has labelled documents already."""
-    order = example_order(strategy, seed)
-    if batch == "double":
-        sizes = labelled.groupBy("klass").agg(F.count(F.lit(1)).alias("_size"))
-        ordered = keyed_join(ranks(candidates, ["klass"], order, "_rank"), sizes, ["klass"])
-        return ordered.filter(F.col("_rank") <= F.col("_size")).drop("_rank", "_size")
-    if batch >= GROUP_LIMIT:
-        return ranks(candidates, ["klass"], order, "_rank").filter(F.col("_rank") <= batch).drop("_rank")
-    best = Window.partitionBy("klass").orderBy(*order)
-    numbered = candidates.withColumn("_rank", F.row_number().over(best))
-    return numbered.filter(F.col("_rank") <= batch).drop("_rank")
+def first_examples(labelled: DataFrame, per_class: int = 1, seed: int = 0) -> DataFrame:
+    """A repeatable random choice of examples per class, from rows with (klass, id)."""
+    best = Window.partitionBy("klass").orderBy(example_key("random", seed), "id")
+    numbered = labelled.withColumn("_rank", F.row_number().over(best))
+    return numbered.filter(F.col("_rank") <= per_class).drop("_rank")
 
 
 def active_learning(
@@ -152,31 +134,50 @@ def active_learning(
 ) -> DataFrame:
     """Learn, evaluate, label further examples, repeat until a class retrieves no unlabelled one.
 
-    ``seeds`` holds (klass, doc_id, gold). Returns (klass, round, n_train, n_pos, n_neg, p, r, f1).
-    Each round is a fixed number of jobs over all classes that are still running. Its labels and
-    results are written to the shared folder, so rounds do not pile up lineage.
+    ``seeds`` holds (klass, doc_id, gold). ``batch`` documents are labelled per class and round,
+    or with ``"double"`` as many as the class has labelled documents already. Returns (klass,
+    round, n_train, n_pos, n_neg, p, r, f1).
+
+    Each round is a fixed number of jobs over all classes that are still running. Its rankings,
+    labels and results are written to the shared folder, so rounds do not pile up lineage.
     """
     spark = docs.sparkSession
     log = scratch_path(spark, "rounds")
     roles = with_roles(docs)
     gold_sizes = settle(class_overview(roles).select("klass", "n_gold"), "gold-sizes")
     labelled = settle(seeds.select("klass", "doc_id", "gold").dropDuplicates(), "labelled")
+    # Test documents by score, unlabelled training documents by what to label first.
+    order = [
+        F.when(F.col("is_test"), -F.col("score")),
+        F.when(~F.col("is_test"), example_key(strategy)),
+        F.col("id"),
+    ]
     number = 0
     while max_rounds is None or number < max_rounds:
+        overview = settle(
+            labelled.groupBy("klass")
+            .agg(
+                F.count(F.lit(1)).alias("n_train"),
+                F.count_if("gold").alias("n_pos"),
+                F.count_if(~F.col("gold")).alias("n_neg"),
+            )
+            .join(gold_sizes, "klass"),
+            "overview",
+        )
         model = score_counts(count_terms_by_problem(docs, labelled), options.learn, separate=True)
         features = top_features(model, options.n_features, options.learn.nan_policy)
-        scores = settle(with_document_facts(posting_scores(term_postings, features), roles), "scores")
-        overview = labelled.groupBy("klass").agg(
-            F.count(F.lit(1)).alias("n_train"),
-            F.count_if("gold").alias("n_pos"),
-            F.count_if(~F.col("gold")).alias("n_neg"),
-        )
-        report = evaluate(scores, overview.join(gold_sizes, "klass"))
-        report.withColumn("round", F.lit(number)).write.mode("append").parquet(log)
+        scores = with_document_facts(posting_scores(term_postings, features), roles)
+        useful = unlabelled(scores, labelled)
+        positions = with_positions(useful, ("klass", "is_test"), order)
+        points = break_even_at(positions.filter("is_test"), overview.select("klass", "n_gold"))
+        _report(points, overview).withColumn("round", F.lit(number)).write.mode("append").parquet(log)
         number += 1
-        candidates = unlabelled_training(scores, labelled)
+        limit = F.col("n_train") if batch == "double" else F.lit(batch)
+        candidates = keyed_join(
+            positions.filter(~F.col("is_test")), overview.select("klass", "n_train"), ["klass"]
+        )
         chosen = settle(
-            choose_examples(candidates, labelled, batch, strategy).select("klass", "doc_id", "gold"),
+            candidates.filter(F.col("position") <= limit).select("klass", "doc_id", "gold"),
             "chosen",
         )
         if chosen.isEmpty():
@@ -188,3 +189,10 @@ def active_learning(
     return spark.read.parquet(log).select(
         "klass", "round", "n_train", "n_pos", "n_neg", "p", "r", "f1"
     )
+
+
+def unlabelled(scores: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Test documents, and training documents that are not labelled for the class yet."""
+    return scores.filter(F.col("is_training") | F.col("is_test")).join(
+        labelled.select("klass", "doc_id"), ["klass", "doc_id"], "left_anti"
+    )

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seedsift.plans.bounded import keyed_join
+
 CORPUS_SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType(), False),
@@ -42,7 +44,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     offsets = counts.select(
         *split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    return lines.join(offsets, split).select(
+    return keyed_join(lines, offsets, split).select(
         *lines.columns,
         (F.col("_before") + F.col("doc_id") - F.col("_first") + 1).alias("line_no"),
     )
