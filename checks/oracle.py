@@ -194,7 +194,7 @@ def scored(n: int = 50, total: str = "all_docs + u", labels: str = TOXIC, field:
 
 
 def doc_scores(weights: str, docs: str = "corpus", id_col: str = "doc_id") -> str:
-    return f"""SELECT d.doc_id, {num("coalesce(sum(w.log_likelihood), 0.0)", "score")}
+    return f"""SELECT d.doc_id, {num("round(coalesce(sum(w.log_likelihood), 0.0), 9)", "score")}
 FROM (SELECT {id_col} AS doc_id, unnest(string_split(lemmas, ' ')) AS term FROM {docs}) d
 LEFT JOIN ({weights}) w USING (term) GROUP BY d.doc_id"""
 

@@ -40,7 +40,7 @@ from seedsift.operators.scoring import (
     stepwise_scores,
 )
 from seedsift.plans import experiment as ex
-from seedsift.plans.bounded import scratch_path, settle
+from seedsift.plans.bounded import pin, scratch_path
 from seedsift.plans.search import SearchOptions, search_by_example
 from seedsift.sources import index as ix
 from seedsift.sources.corpus import (
@@ -73,9 +73,9 @@ def toxic_model(spark, sf_dir, options=LearnOptions(), collection=None):
 
 
 def toxic_features(spark, sf_dir, n=50, options=LearnOptions()):
-    """The best features of class 0, written out: a few rows that several steps read."""
+    """The best features of class 0: a few rows that several steps read."""
     model = toxic_model(spark, sf_dir, options).filter(F.col("klass") == MEMBER)
-    return settle(top_features(model, n, options.nan_policy), "features")
+    return pin(top_features(model, n, options.nan_policy), "features")
 
 
 def text_postings(spark, sf_dir):
@@ -519,14 +519,14 @@ def one_vs_rest_sequential(spark, sf_dir):
 
 @query
 def active_learning_rounds(spark, sf_dir):
-    """Languages learned from one seed each; the labelled documents double every round."""
+    """Languages learned from eight examples each; the labelled documents double every round."""
     docs = split_corpus(spark, sf_dir).withColumn("tags", F.element_at(F.split("tags", " "), 1))
     first = ex.with_roles(docs).filter("is_training").select(
         "doc_id", "id", F.explode("klasses").alias("klass")
     )
-    picks = settle(ex.first_examples(first, seed=7).select("klass", "doc_id"), "first-examples")
-    # The first example of a language is a negative example of every other one.
-    languages = sorted(row["klass"] for row in picks.select("klass").collect())
+    picks = pin(ex.first_examples(first, per_class=8, seed=7).select("klass", "doc_id"), "first-examples")
+    # The examples of a language are negative examples of every other one.
+    languages = sorted(row["klass"] for row in picks.select("klass").distinct().collect())
     own = F.col("klass")
     seeds = picks.select(
         F.explode(F.array(*[F.lit(x) for x in languages])).alias("target"), "doc_id", own

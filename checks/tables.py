@@ -85,8 +85,8 @@ def corpus_file(spark: SparkSession, sf_dir: str) -> str:
 def shown(df: DataFrame, *numbers: str) -> DataFrame:
     """Doubles at 6 decimals; NaN and infinities become NULL with a ``_state`` column."""
     for name in numbers:
-        value = F.round(finite_or_null(F.col(name)), 6)
-        df = df.withColumn(f"{name}_state", number_state(F.col(name))).withColumn(
+        value = F.round(finite_or_null(name), 6)
+        df = df.withColumn(f"{name}_state", number_state(name)).withColumn(
             name, F.when(value == 0, F.lit(0.0)).otherwise(value)
         )
     return df

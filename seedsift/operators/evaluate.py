@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedsift.functions.ieee import ieee_div
@@ -14,10 +14,11 @@ from seedsift.plans.bounded import keyed_join
 from seedsift.plans.prefix import prefix_sums
 
 
-def precision_recall_f1(tp: Column, retrieved: Column, n_gold: Column) -> dict[str, Column]:
-    p = ieee_div(tp, retrieved)
-    r = ieee_div(tp, n_gold)
-    return {"p": p, "r": r, "f1": ieee_div(F.lit(2.0) * (p * r), p + r)}
+def with_rates(counts: DataFrame) -> DataFrame:
+    """Adds ``p``, ``r`` and ``f1`` of ``tp`` among ``position`` retrieved and ``n_gold`` wanted."""
+    p, r = ieee_div("double(tp)", "double(position)"), ieee_div("double(tp)", "double(n_gold)")
+    rates = counts.selectExpr("*", f"{p} AS p", f"{r} AS r")
+    return rates.selectExpr("*", f"{ieee_div('2D * (p * r)', 'p + r')} AS f1")
 
 
 def confusion(ranked: DataFrame) -> DataFrame:
@@ -41,9 +42,7 @@ def with_positions(ranked: DataFrame, group=("klass",), order=None) -> DataFrame
 
 def precision_recall_curve(ranked: DataFrame, sizes: DataFrame) -> DataFrame:
     curve = keyed_join(with_positions(ranked), sizes, ["klass"])
-    return curve.withColumns(
-        precision_recall_f1(F.col("tp"), F.col("position"), F.col("n_gold"))
-    )
+    return with_rates(curve)
 
 
 def break_even(ranked: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -67,14 +66,4 @@ def break_even_at(positioned: DataFrame, sizes: DataFrame) -> DataFrame:
     at = F.coalesce("meeting", "end")
     points = found.select("klass", at["position"].alias("position"), at["tp"].alias("tp"))
     everything = sizes.join(points, "klass", "left").fillna(0, ["position", "tp"])
-    return everything.select(
-        "klass",
-        "n_gold",
-        "position",
-        *[
-            value.alias(name)
-            for name, value in precision_recall_f1(
-                F.col("tp"), F.col("position"), F.col("n_gold")
-            ).items()
-        ],
-    )
+    return with_rates(everything).select("klass", "n_gold", "position", "p", "r", "f1")

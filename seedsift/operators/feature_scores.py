@@ -1,7 +1,7 @@
 """Feature scores: how well a term tells a class from the rest.
 
-Every score is one column expression over the counts of a (class, term) pair. ``ig`` is the
-active one of the reference, the others are its switchable schemes.
+Every score is one SQL expression over the counts of a (class, term) pair. ``ig`` is the active
+one of the reference, the others are its switchable schemes.
 
 Columns read here: ``p``, ``n`` occurrences in and outside the class (n already smoothed),
 ``nc`` class documents (smoothed with n), ``class_docs`` class documents as labelled, ``total``,
@@ -10,8 +10,6 @@ Columns read here: ``p``, ``n`` occurrences in and outside the class (n already
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +21,6 @@ from seedsift.functions.ieee import (
     x_log_x_over,
 )
 
-c = F.col
 
 def with_probabilities(counts: DataFrame, collection_pt: bool = False) -> DataFrame:
     """The contingency probabilities of class and term.
@@ -31,110 +28,87 @@ def with_probabilities(counts: DataFrame, collection_pt: bool = False) -> DataFr
     With ``collection_pt`` the share of documents that contain the term replaces P(t) in the
     mutual information scores; information gain keeps the trained one (``pt``).
     """
-    p, n, nc, total = c("p"), c("n"), c("nc"), c("total")
-    seen = p + n
-    pt_used = ieee_div(c("df"), c("n_docs")) if collection_pt else ieee_div(seen, total)
-    return counts.withColumns(
-        {
-            "pc": ieee_div(nc, total),
-            "pt": ieee_div(seen, total),
-            "pt_used": pt_used,
-            "pc_t": ieee_div(p, seen),
-            "pnc_t": ieee_div(n, seen),
-            "pc_nt": ieee_div(nc - p, total - seen),
-            "pnc_nt": ieee_div(total - (nc + n), total - seen),
-            "ptc": ieee_div(p, total),
-            "ptnc": ieee_div(n, total),
-            "pntc": ieee_div(nc - p, total),
-            "pntnc": ieee_div(total - (nc + n), total),
-        }
-    ).withColumns({"pnc": F.lit(1.0) - c("pc"), "pnt": F.lit(1.0) - c("pt")})
-
-
-def information_gain(nan_policy: str = "ieee") -> Column:
-    def h(name: str) -> Column:
-        return x_log_x(c(name), nan_policy)
+    ratios = {
+        "pc": ("nc", "total"),
+        "pt": ("p + n", "total"),
+        "pt_used": ("df", "n_docs") if collection_pt else ("p + n", "total"),
+        "pc_t": ("p", "p + n"),
+        "pnc_t": ("n", "p + n"),
+        "pc_nt": ("nc - p", "total - (p + n)"),
+        "pnc_nt": ("total - (nc + n)", "total - (p + n)"),
+        "ptc": ("p", "total"),
+        "ptnc": ("n", "total"),
+        "pntc": ("nc - p", "total"),
+        "pntnc": ("total - (nc + n)", "total"),
+    }
+    return counts.selectExpr(
+        "*", *[f"{ieee_div(*ratio)} AS {name}" for name, ratio in ratios.items()]
+    ).selectExpr("*", "1D - pc AS pnc", "1D - pt AS pnt")
+
+
+def information_gain(nan_policy: str = "ieee") -> str:
+    def h(x: str) -> str:
+        return x_log_x(x, nan_policy)
 
     return (
-        -h("pc")
-        - h("pnc")
-        + c("pt") * (h("pc_t") + h("pnc_t"))
-        + c("pnt") * (h("pc_nt") + h("pnc_nt"))
+        f"-{h('pc')} - {h('pnc')} + pt * ({h('pc_t')} + {h('pnc_t')})"
+        f" + pnt * ({h('pc_nt')} + {h('pnc_nt')})"
     )
 
 
-def _cell(joint: str, *margins: str) -> Column:
+def _cell(joint: str, klass: str, term: str) -> str:
     """ln of a joint probability over the product of its margins."""
-    return ieee_log(ieee_div(c(joint), c(margins[0]) * c(margins[1])))
+    return ieee_log(ieee_div(joint, f"{klass} * {term}"))
 
 
-def _pointwise(joint: str, klass: str) -> Column:
+def _pointwise(joint: str, klass: str) -> str:
     """The same with the logarithms taken one by one."""
-    return ieee_log(c(joint)) - (ieee_log(c(klass)) + ieee_log(c("pt_used")))
-
+    return f"({ieee_log(joint)} - ({ieee_log(klass)} + {ieee_log('pt_used')}))"
 
-def _entropy(total: Column, *cells: Column) -> Column:
-    parts = x_log_x_over(cells[0], total)
-    for cell in cells[1:]:
-        parts = parts + x_log_x_over(cell, total)
-    return ieee_log(total) - parts
 
+_INSIDE = _cell("ptc", "pc", "pt_used")
+_OUTSIDE = _cell("ptnc", "pnc", "pt_used")
 
-def _count_mutual_information() -> Column:
-    """H(class) + H(term) - H(class, term) from counts.
 
-    The reference's disabled formula adds the joint entropy; mutual information subtracts it.
-    """
-    total, inside, p, n = c("total"), c("class_docs"), c("p"), c("n")
-    outside, seen = total - inside, p + n
-    return (
-        _entropy(total, inside, outside)
-        + _entropy(total, seen, total - seen)
-        - _entropy(total, p, n, inside - p, outside - n)
-    )
+def _entropy(*cells: str) -> str:
+    parts = " + ".join(x_log_x_over(cell, "total") for cell in cells)
+    return f"({ieee_log('total')} - ({parts}))"
 
 
-def likelihood_ratio(other_count: Column, other_size: Column) -> Column:
+def likelihood_ratio(other_count: str, other_size: str) -> str:
     """Two sample likelihood ratio of the class against a second sample."""
-    n1, s1, n2, s2 = c("p"), c("class_docs"), other_count, other_size
-    together, both = n1 + n2, s1 + s2
+    own, other = ("p", "class_docs"), (other_count, other_size)
+    pooled = (f"p + {other_count}", f"class_docs + {other_size}")
     return (
-        binomial_log_likelihood(n2, s2, together, both)
-        + binomial_log_likelihood(n1, s1, together, both)
-        - binomial_log_likelihood(n1, s1, n1, s1)
-        - binomial_log_likelihood(n2, s2, n2, s2)
+        f"{binomial_log_likelihood(*other, *pooled)} + {binomial_log_likelihood(*own, *pooled)}"
+        f" - {binomial_log_likelihood(*own, *own)} - {binomial_log_likelihood(*other, *other)}"
     )
 
 
-FEATURE_SCORES: dict[str, Callable[[], Column]] = {
-    "odds": lambda: ieee_log(c("p")) - ieee_log(c("n")),
-    "mi_ratio": lambda: ieee_div(
-        c("p") * c("total"), (c("p") + (c("class_docs") - c("p"))) * (c("p") + c("n"))
-    ),
-    "freq": lambda: c("p") + c("n"),
-    "mi": lambda: c("ptc") * _cell("ptc", "pc", "pt_used")
-    + c("ptnc") * _cell("ptnc", "pnc", "pt_used")
-    + c("pntc") * _cell("pntc", "pc", "pnt")
-    + c("pntnc") * _cell("pntnc", "pnc", "pnt"),
-    "mi_term": lambda: c("ptc") * _cell("ptc", "pc", "pt_used")
-    + c("ptnc") * _cell("ptnc", "pnc", "pt_used"),
-    "mi_classweighted": lambda: c("pc") * _cell("ptc", "pc", "pt_used")
-    + c("pnc") * _cell("ptnc", "pnc", "pt_used"),
-    "mi_max": lambda: F.greatest(
-        c("pc") * _cell("ptc", "pc", "pt_used"), c("pnc") * _cell("ptnc", "pnc", "pt_used")
-    ),
-    "mi1": lambda: _pointwise("ptc", "pc"),
-    "mi2": lambda: c("ptc") * _pointwise("ptc", "pc") + c("ptnc") * _pointwise("ptnc", "pnc"),
-    "mi3": _count_mutual_information,
-    "df": lambda: ieee_log(c("df")) - c("n_docs"),
-    "ll": lambda: c("log_likelihood"),
-    "lr1": lambda: likelihood_ratio(c("n"), c("total") - c("class_docs")),
-    "lr2": lambda: likelihood_ratio(c("df"), c("n_docs")),
-    "lr3": lambda: likelihood_ratio(c("p") + c("n"), c("total")),
+FEATURE_SCORES: dict[str, str] = {
+    "odds": f"{ieee_log('p')} - {ieee_log('n')}",
+    "mi_ratio": ieee_div("p * total", "(p + (class_docs - p)) * (p + n)"),
+    "freq": "p + n",
+    "mi": f"ptc * {_INSIDE} + ptnc * {_OUTSIDE}"
+    f" + pntc * {_cell('pntc', 'pc', 'pnt')} + pntnc * {_cell('pntnc', 'pnc', 'pnt')}",
+    "mi_term": f"ptc * {_INSIDE} + ptnc * {_OUTSIDE}",
+    "mi_classweighted": f"pc * {_INSIDE} + pnc * {_OUTSIDE}",
+    "mi_max": f"greatest(pc * {_INSIDE}, pnc * {_OUTSIDE})",
+    "mi1": _pointwise("ptc", "pc"),
+    "mi2": f"ptc * {_pointwise('ptc', 'pc')} + ptnc * {_pointwise('ptnc', 'pnc')}",
+    # H(class) + H(term) - H(class, term). The reference's disabled formula adds the joint
+    # entropy; mutual information subtracts it.
+    "mi3": f"{_entropy('class_docs', 'total - class_docs')} + {_entropy('p + n', 'total - (p + n)')}"
+    f" - {_entropy('p', 'n', 'class_docs - p', '(total - class_docs) - n')}",
+    "df": f"{ieee_log('df')} - n_docs",
+    "ll": "log_likelihood",
+    "lr1": likelihood_ratio("n", "(total - class_docs)"),
+    "lr2": likelihood_ratio("df", "n_docs"),
+    "lr3": likelihood_ratio("(p + n)", "total"),
 }
 
 NEEDS_COLLECTION = {"df", "lr2"}
 
 
 def feature_score(name: str, nan_policy: str = "ieee") -> Column:
-    return information_gain(nan_policy) if name == "ig" else FEATURE_SCORES[name]()
+    return F.expr(information_gain(nan_policy) if name == "ig" else FEATURE_SCORES[name])

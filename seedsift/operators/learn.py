@@ -141,26 +141,26 @@ def hash_bucket(term: Column, n_keys: Column) -> Column:
 
 def smooth(counts: DataFrame) -> DataFrame:
     """Add-one smoothing of terms without a negative occurrence, counts as doubles."""
-    unseen = F.col("unseen")
-    return counts.withColumns(
-        {
-            "p": F.col("p").cast("double"),
-            "n": (F.col("n") + unseen).cast("double"),
-            "nc": (F.col("class_docs") + unseen).cast("double"),
-            "class_docs": F.col("class_docs").cast("double"),
-            "total": F.col("total").cast("double"),
-        }
+    return counts.selectExpr(
+        "klass",
+        "term",
+        "double(p) AS p",
+        "double(n + unseen) AS n",
+        "double(class_docs + unseen) AS nc",
+        "double(class_docs) AS class_docs",
+        "double(total) AS total",
     )
 
 
 def log_likelihood(kind: str = "ratio") -> Column:
     """``ratio``: ln p - ln nc - ln n + ln(total - nc), in this order: it decides exact zeros."""
-    p, n, nc, total = (F.col(x) for x in ("p", "n", "nc", "total"))
-    if kind == "odds":
-        return ieee_log(p) - ieee_log(n)
-    if kind == "odds_share":
-        return ieee_log(p) - ieee_log(n) - ieee_log(p + n)
-    return ieee_log(p) - ieee_log(nc) - ieee_log(n) + ieee_log(total - nc)
+    ln_p, ln_n = ieee_log("p"), ieee_log("n")
+    formulas = {
+        "ratio": f"{ln_p} - {ieee_log('nc')} - {ln_n} + {ieee_log('total - nc')}",
+        "odds": f"{ln_p} - {ln_n}",
+        "odds_share": f"{ln_p} - {ln_n} - {ieee_log('p + n')}",
+    }
+    return F.expr(formulas[kind])
 
 
 def log_priors(labels: DataFrame, drift: DataFrame | None = None) -> DataFrame:
@@ -178,9 +178,9 @@ def log_priors(labels: DataFrame, drift: DataFrame | None = None) -> DataFrame:
         sizes = earlier.withColumn(
             "all_docs", F.col("all_docs") + F.col("_drift") - F.col("unseen")
         )
-    inside, total = F.col("class_docs").cast("double"), F.col("all_docs").cast("double")
-    return sizes.select(
-        "klass", "class_docs", (ieee_log(inside) - ieee_log(total - inside)).alias("log_prior")
+    inside, rest = "double(class_docs)", "double(all_docs - class_docs)"
+    return sizes.selectExpr(
+        "klass", "class_docs", f"{ieee_log(inside)} - {ieee_log(rest)} AS log_prior"
     )
 
 

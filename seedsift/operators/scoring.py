@@ -50,7 +50,7 @@ def posting_hits(term_postings: DataFrame, features: DataFrame) -> DataFrame:
     rows = fetch_bounded(features)
     if rows is None:
         return keyed_join(term_postings, features, ["term"], max_rows=0)
-    terms = sorted({row["term"] for row in rows})
+    terms = sorted(set(rows["term"].to_pylist()))
     if len(terms) <= PUSHED_TERMS:
         term_postings = restrict_to_terms(term_postings, terms)
     local = local_frame(term_postings.sparkSession, rows, features.schema)

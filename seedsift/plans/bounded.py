@@ -4,7 +4,8 @@ Three tools:
 
 * ``settle``        writes a frame to the shared folder and reads it back: lineage is cut and
                     survives the loss of executors, and Catalyst knows its real size.
-* ``fetch_bounded`` brings a frame to the driver only if it has at most ``limit`` rows.
+* ``fetch_bounded`` brings a frame to the driver only if it has at most ``limit`` rows; ``pin``
+                    keeps such rows in the plan and settles any larger frame.
 * ``keyed_join``    joins a large frame to a smaller one with unique keys: broadcast when the
                     measured size allows it, otherwise a shuffle join in which the hot keys are
                     split off first and joined by broadcast.
@@ -17,11 +18,13 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DRIVER_ROWS = 100_000
+PINNED_ROWS = 10_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 10_000  # a key is hot when it holds more than 1/HOT_SHARE of the rows
 
@@ -47,14 +50,15 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fetch_bounded(df: DataFrame, limit: int = DRIVER_ROWS) -> list | None:
+def fetch_bounded(df: DataFrame, limit: int = DRIVER_ROWS) -> pa.Table | None:
     """The rows, or None when there are more than ``limit`` of them."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+    rows = df.limit(limit + 1).toArrow()
+    return rows if rows.num_rows <= limit else None
 
 
-def local_frame(spark: SparkSession, rows: Sequence, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+def local_frame(spark: SparkSession, rows: pa.Table, schema: T.StructType) -> DataFrame:
+    """Fetched rows as a frame; Catalyst knows its size."""
+    return spark.createDataFrame(rows, schema)
 
 
 def bounded_frame(df: DataFrame, limit: int = DRIVER_ROWS) -> DataFrame | None:
@@ -63,6 +67,13 @@ def bounded_frame(df: DataFrame, limit: int = DRIVER_ROWS) -> DataFrame | None:
     return None if rows is None else local_frame(df.sparkSession, rows, df.schema)
 
 
+def pin(df: DataFrame, name: str = "pinned", limit: int = PINNED_ROWS) -> DataFrame:
+    """Cuts the lineage of a frame that is read several times: a few rows are kept in the plan,
+    more are written to the shared folder."""
+    local = bounded_frame(df, limit)
+    return settle(df, name) if local is None else local
+
+
 def _row_bytes(df: DataFrame) -> Column:
     size = F.lit(16)
     for field in df.schema.fields:

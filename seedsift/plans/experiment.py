@@ -22,7 +22,7 @@ from seedsift.operators.labels import (
 from seedsift.operators.learn import LearnOptions, learn, score_counts, top_features
 from seedsift.operators.ranking import example_key
 from seedsift.operators.scoring import FEATURES_EXPERIMENT, posting_scores
-from seedsift.plans.bounded import keyed_join, scratch_path, settle
+from seedsift.plans.bounded import keyed_join, pin, scratch_path
 from seedsift.sources.index import tag_array
 from seedsift.sources.seeds import MEMBER
 
@@ -106,7 +106,7 @@ def one_vs_rest(
     docs: DataFrame, term_postings: DataFrame, options: ExperimentOptions = ExperimentOptions()
 ) -> DataFrame:
     """(klass, n_train, n_pos, n_neg, p, r, f1) at the break-even point of every tag."""
-    overview = settle(class_overview(with_roles(docs)), "overview")
+    overview = pin(class_overview(with_roles(docs)), "overview")
     scores = one_vs_rest_scores(docs, term_postings, options)
     ranked = scores.filter("is_test").select("klass", "id", "score", "gold")
     return _report(break_even(ranked, overview.select("klass", "n_gold")), overview)
@@ -144,8 +144,8 @@ def active_learning(
     spark = docs.sparkSession
     log = scratch_path(spark, "rounds")
     roles = with_roles(docs)
-    gold_sizes = settle(class_overview(roles).select("klass", "n_gold"), "gold-sizes")
-    labelled = settle(seeds.select("klass", "doc_id", "gold").dropDuplicates(), "labelled")
+    gold_sizes = pin(class_overview(roles).select("klass", "n_gold"), "gold-sizes")
+    labelled = pin(seeds.select("klass", "doc_id", "gold").dropDuplicates(), "labelled")
     # Test documents by score, unlabelled training documents by what to label first.
     order = [
         F.when(F.col("is_test"), -F.col("score")),
@@ -154,7 +154,7 @@ def active_learning(
     ]
     number = 0
     while max_rounds is None or number < max_rounds:
-        overview = settle(
+        overview = pin(
             labelled.groupBy("klass")
             .agg(
                 F.count(F.lit(1)).alias("n_train"),
@@ -176,14 +176,14 @@ def active_learning(
         candidates = keyed_join(
             positions.filter(~F.col("is_test")), overview.select("klass", "n_train"), ["klass"]
         )
-        chosen = settle(
+        chosen = pin(
             candidates.filter(F.col("position") <= limit).select("klass", "doc_id", "gold"),
             "chosen",
         )
         if chosen.isEmpty():
             break
         running = chosen.select("klass").dropDuplicates()
-        labelled = settle(
+        labelled = pin(
             labelled.join(running, "klass", "left_semi").unionByName(chosen), "labelled"
         )
     return spark.read.parquet(log).select(

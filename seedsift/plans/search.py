@@ -12,7 +12,7 @@ from seedsift.operators.labels import labels_from_seeds, without_labelled
 from seedsift.operators.learn import LearnOptions, learn, top_features
 from seedsift.operators.ranking import TOP_K, result_order, top_documents
 from seedsift.operators.scoring import FEATURES_SEARCH, posting_scores
-from seedsift.plans.bounded import fetch_bounded, local_frame, settle
+from seedsift.plans.bounded import bounded_frame, pin
 from seedsift.sources.corpus import number_lines, parse_lines, read_lines, rejected_lines
 from seedsift.sources.index import Index, build_index, pick_documents
 from seedsift.sources.seeds import MEMBER
@@ -39,7 +39,7 @@ def search_by_example(
     index: Index, seeds: DataFrame, options: SearchOptions = SearchOptions()
 ) -> DataFrame:
     """The best ``k`` unlabelled documents for the ``+`` seeds: (doc_id, score, id, title, snippet)."""
-    labels = settle(labels_from_seeds(index.docs, seeds), "labels")
+    labels = pin(labels_from_seeds(index.docs, seeds), "labels")
     labelled = pick_documents(index.docs, labels)
     model = learn(labelled, labels, options.learn, options.field)
     features = top_features(
@@ -52,10 +52,9 @@ def search_by_example(
 
 def present(docs: DataFrame, best: DataFrame, options: SearchOptions) -> DataFrame:
     """Stored fields of the winners, and of no other document."""
-    rows = fetch_bounded(best)
-    if rows is not None:
-        best = local_frame(docs.sparkSession, rows, best.schema)
-        docs = pick_documents(docs, best)
+    winners = bounded_frame(best)
+    if winners is not None:
+        best, docs = F.broadcast(winners), pick_documents(docs, winners)
     return (
         docs.join(best, "doc_id")
         .select(

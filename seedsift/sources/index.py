@@ -55,7 +55,7 @@ def pick_documents(docs: DataFrame, wanted: DataFrame, pushed: int = 500) -> Dat
     rows = fetch_bounded(ids, pushed)
     if rows is None:
         return docs.join(ids, "doc_id", "left_semi")
-    return docs.filter(in_list("doc_id", [row["doc_id"] for row in rows], docs.sparkSession))
+    return docs.filter(in_list("doc_id", rows["doc_id"].to_pylist(), docs.sparkSession))
 
 
 def documents_by_id(docs: DataFrame, id: str) -> DataFrame:
