@@ -130,17 +130,21 @@ def hot_split_join(
 
 
 def in_list(column: str, values: Sequence, spark: SparkSession) -> Column:
-    """``column IN values`` as ORed lists short enough to reach Parquet value by value.
+    """``column IN values`` in a form that prunes Parquet pages value by value.
 
-    Above the threshold Spark pushes only the range between the smallest and the largest value.
+    Above a threshold Spark pushes only the range between the smallest and the largest value, so
+    the list is repeated as ORed short lists. The long list comes first and decides for each row
+    by one hash lookup.
     """
     step = max(1, int(spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold", "10")))
-    values = list(values)
+    values = sorted(values)
     if not values:
         return F.lit(False)
-    chunks = [values[start : start + step] for start in range(0, len(values), step)]
     if all(isinstance(value, int) for value in values):
         # One expression instead of a call per number.
-        tests = [f"{column} IN ({', '.join(map(str, chunk))})" for chunk in chunks]
-        return F.expr(" OR ".join(tests))
-    return reduce(or_, [F.col(column).isin(chunk) for chunk in chunks])
+        lists = [", ".join(map(str, values[i : i + step])) for i in range(0, len(values), step)]
+        tests = [f"{column} IN ({one})" for one in (", ".join(lists), *lists)]
+        return F.expr(tests[0]) & F.expr(" OR ".join(tests[1:]))
+    literals = [F.lit(value) for value in values]
+    chunks = [literals[i : i + step] for i in range(0, len(literals), step)]
+    return F.col(column).isin(literals) & reduce(or_, [F.col(column).isin(c) for c in chunks])

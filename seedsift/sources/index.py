@@ -2,7 +2,8 @@
 
 Postings are sharded by document, not by term: every file holds all terms of its own documents,
 sorted by term. Writing them needs no shuffle, a frequent term is spread over all files, and a
-search for a few terms reads only the Parquet pages that contain them.
+search for a few terms reads only the Parquet pages that contain them. Pages are kept short, so
+that little is read besides those terms.
 """
 
 from __future__ import annotations
@@ -68,6 +69,9 @@ def spread(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs if docs.rdd.getNumPartitions() >= wanted else docs.repartition(wanted, key)
 
 
+PAGE_ROWS = 2048
+
+
 @dataclass(frozen=True)
 class Index:
     """The tables of an index; from files or computed on the fly."""
@@ -93,14 +97,15 @@ def build_index(docs: DataFrame, path: str) -> Index:
     when a task is repeated.
     """
     spark = docs.sparkSession
-    docs.write.mode("overwrite").parquet(f"{path}/docs")
+    docs.sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/docs")
     stored = spark.read.schema(docs.schema).parquet(f"{path}/docs")
     for name, table, key in (
         ("text", postings(stored), "term"),
         ("title", postings(stored, "title"), "term"),
         ("tags", doc_tags(stored), "tag"),
     ):
-        table.sortWithinPartitions(key, "doc_id").write.mode("overwrite").parquet(f"{path}/{name}")
+        ordered = table.sortWithinPartitions(key, "doc_id").write.mode("overwrite")
+        ordered.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{path}/{name}")
     return open_index(spark, path)
 
 
