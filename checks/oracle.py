@@ -312,6 +312,10 @@ SELECT line_no, cols[1] AS id, cols[2] AS title, cols[3] AS lemmas,
        CASE WHEN len(cols) > 3 THEN array_to_string(cols[4:], chr(9)) END AS tags
 FROM numbered WHERE len(cols) >= 3""",
     "tsv_rejects": f"WITH {TSV} SELECT line_no, value AS raw_line FROM numbered WHERE len(cols) < 3",
+    "index_from_file_df": f"""WITH {TSV},
+valid AS (SELECT line_no AS doc_id, cols[3] AS lemmas FROM numbered WHERE len(cols) >= 3),
+{postings(source="valid")}
+SELECT term, count(*) AS df FROM postings GROUP BY term""",
     "seed_labels": """SELECT DISTINCT CASE WHEN toxic = 1 THEN 0 ELSE 1 END AS klass, doc_id
 FROM labels JOIN documents USING (doc_id) WHERE quality <> 0""",
     "unknown_seeds": """SELECT DISTINCT 0 AS klass, 'item' || CAST(item_id AS VARCHAR) AS id FROM benchmark
@@ -359,6 +363,11 @@ UNION SELECT quality, doc_id FROM labels""",
     + f"SELECT klass, term, {fin('log_likelihood')} FROM model",
     "likelihood_odds_share": with_(CORPUS, TOXIC, *model(likelihood="ln(p) - ln(n) - ln(p + n)"))
     + f"SELECT klass, term, {fin('log_likelihood')} FROM model",
+    "model_saved_and_loaded": T_RANKED
+    + f"""SELECT klass, rank, term, class_docs, {fin("log_likelihood")}, {fin("log_prior")}
+FROM ranked JOIN (
+  SELECT klass, class_docs, ln(class_docs::DOUBLE) - ln((all_docs - class_docs)::DOUBLE) AS log_prior
+  FROM (SELECT DISTINCT klass, class_docs, all_docs FROM counted)) USING (klass)""",
     "model_listing_lines": T_RANKED
     + """SELECT 0 AS part, klass, rank, term AS line FROM ranked
 UNION ALL SELECT 1, klass, rank, term || '/' || CAST(CAST(log_likelihood AS DECIMAL(18,6)) AS VARCHAR) FROM ranked""",
@@ -391,6 +400,8 @@ WHERE klass = {MEMBER} AND rank <= 51""",
     + "SELECT doc_id, score > 0 AS is_member, printf('%.6e', exp(score)) AS odds FROM scores",
     "search_top20": search(),
     "search_stored_index_top20": search(),
+    "search_result_lines": "SELECT concat_ws(chr(9), CAST(score AS VARCHAR), id, title, snippet) AS line"
+    f" FROM ({search()})",
     "search_quality_worst_first": search(QUALITY),
     "search_titles_top20": search(field="title"),
     "unlabelled_ranking": scored(50) + FREE + f"SELECT id, {num('score')} FROM free",

@@ -41,7 +41,7 @@ from seedsift.operators.scoring import (
 )
 from seedsift.plans import experiment as ex
 from seedsift.plans.bounded import pin, scratch_path
-from seedsift.plans.search import SearchOptions, search_by_example
+from seedsift.plans.search import SearchOptions, index_corpus, search_by_example
 from seedsift.sources import index as ix
 from seedsift.sources.corpus import (
     count_without_text,
@@ -50,7 +50,8 @@ from seedsift.sources.corpus import (
     read_lines,
     rejected_lines,
 )
-from seedsift.sources.model_store import feature_trace, model_listing
+from seedsift.sources.model_store import feature_trace, load_model, model_listing, save_model
+from seedsift.sources.reports import write_results
 from seedsift.sources.seeds import MEMBER, parse_seeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +141,13 @@ def tsv_rejects(spark, sf_dir):
     return rejected_lines(lines).select("line_no", "raw_line")
 
 
+@query
+def index_from_file_df(spark, sf_dir):
+    """The whole indexing job on a corpus file, seen through its document frequencies."""
+    index, _ = index_corpus(spark, corpus_file(spark, sf_dir), scratch_path(spark, "index"))
+    return ix.document_frequency(index.text)
+
+
 # Labels ----------------------------------------------------------------------------------------
 
 
@@ -294,6 +302,16 @@ def likelihood_odds_share(spark, sf_dir):
     return shown(model.select("klass", "term", "log_likelihood"), "log_likelihood")
 
 
+@query
+def model_saved_and_loaded(spark, sf_dir):
+    path = scratch_path(spark, "model")
+    ranked = rank_features(toxic_model(spark, sf_dir))
+    save_model(ranked, log_priors(toxic_labels(spark, sf_dir)), path)
+    terms, priors = load_model(spark, path)
+    both = terms.select("klass", "rank", "term", "log_likelihood").join(priors, "klass")
+    return shown(both, "log_likelihood", "log_prior")
+
+
 @query
 def model_listing_lines(spark, sf_dir):
     """The weights are rounded before they are printed."""
@@ -407,6 +425,14 @@ def search_stored_index_top20(spark, sf_dir):
     return rounded(search_by_example(index, parse_seeds(seed_lines(spark, sf_dir))), "score")
 
 
+@query
+def search_result_lines(spark, sf_dir):
+    """The printed form of a search, through the text sink."""
+    path = scratch_path(spark, "results")
+    write_results(search_top20(spark, sf_dir), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 @query
 def search_quality_worst_first(spark, sf_dir):
     index = ix.index_view(corpus(spark, sf_dir))

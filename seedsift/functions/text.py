@@ -32,11 +32,13 @@ def whitespace_tokens(
 
 
 def long_enough(term: Column, minimum: int = MIN_TERM_LENGTH) -> Column:
-    """At least ``minimum`` UTF-16 units; a character outside the BMP counts as two."""
+    """At least ``minimum`` UTF-16 units; a character outside the BMP (four bytes) counts as two."""
     utf16_units = F.octet_length(F.encode(term, "UTF-16BE")) / 2
     # The encoding is only looked at for terms whose character count leaves it open.
     return (F.length(term) >= minimum) | (
-        (F.length(term) >= (minimum + 1) // 2) & (utf16_units >= minimum)
+        (F.length(term) >= (minimum + 1) // 2)
+        & (F.octet_length(term) >= 4)
+        & (utf16_units >= minimum)
     )
 
 
