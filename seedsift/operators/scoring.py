@@ -3,8 +3,8 @@
 Posting scores count a (document, term) pair once and return only documents with a selected
 feature. Document scores count every token occurrence and return 0.0 for a document without any.
 
-Sums are rounded to 9 decimals: the order in which tasks deliver their parts then changes
-neither a ranking nor the decision ``score > 0``.
+Sums are rounded to 9 decimals, which hides the noise of the order in which tasks deliver their
+parts from rankings and from the decision ``score > 0``, unless a sum lies on a rounding boundary.
 """
 
 from __future__ import annotations
