@@ -10,6 +10,7 @@ from seedsift.llm.bpe import bpe_digests
 from seedsift.llm.common import read_table
 from seedsift.llm.interleave import interleaved_shards
 from seedsift.llm.mixing import mixture
+from seedsift.llm.repeats import remove_repeats
 from seedsift.llm.simhash import simhash_components
 
 
@@ -48,6 +49,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(read_table(spark, sf_dir, "documents"), with_text=False)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("removed_from").cast("bigint").alias("n_spans"),
+        "kept_sha256",
+    )
+
+
 QUERIES = {
     name: query
     for name, query in globals().items()
