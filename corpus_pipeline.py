@@ -1,6 +1,6 @@
 """Raw documents to training data: each stage is one operator over all that the one before kept.
 
-The stage table grows with the operators; see ``STAGES``.
+A stage sees the documents that are left, and labels of any document.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from seedsift.llm.blockname import exact_dedup
 from seedsift.llm.bpe import bpe_digests
 from seedsift.llm.catalogue import vocabulary_path
-from seedsift.llm.common import settle
+from seedsift.llm.classifier import keep_quality, train_quality
+from seedsift.llm.common import read_table, settle
 from seedsift.llm.mixing import mixed_documents
 from seedsift.llm.simhash import simhash_components
 
@@ -26,6 +27,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return keep_quality(docs, train_quality(docs, read_table(spark, sf_dir, "labels")))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without white space, one stays."""
     rows = _numbered(docs)
@@ -51,6 +57,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", quality),
     ("exact dedup", exact),
     ("near dedup", near),
     ("mixing", mix),

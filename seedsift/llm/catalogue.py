@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seedsift.llm.blockname import exact_dedup
 from seedsift.llm.bpe import bpe_digests
+from seedsift.llm.classifier import score_quality, train_quality
 from seedsift.llm.common import read_table
 from seedsift.llm.interleave import interleaved_shards
 from seedsift.llm.mixing import mixture
@@ -45,6 +46,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = train_quality(docs, read_table(spark, sf_dir, "labels"))
+    return score_quality(docs, model)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
