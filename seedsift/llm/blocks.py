@@ -74,8 +74,8 @@ def summed(
 
 
 def collected(blocks: DataFrame, size: int) -> np.ndarray:
-    """The whole array on the driver; its size is a parameter, whatever the data."""
-    total = np.zeros(size, np.int64)
+    """The whole array on the driver, as floats; its size is a parameter, whatever the data."""
+    total = np.zeros(size, np.float32)
     for row in blocks.toLocalIterator():
         total[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = unpack(bytes(row["counts"]))
     return total

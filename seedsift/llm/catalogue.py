@@ -10,6 +10,7 @@ from seedsift.llm.bpe import bpe_digests
 from seedsift.llm.classifier import score_quality, train_quality
 from seedsift.llm.common import read_table
 from seedsift.llm.interleave import interleaved_shards
+from seedsift.llm.lm import score_texts, train_model
 from seedsift.llm.mixing import mixture
 from seedsift.llm.repeats import remove_repeats
 from seedsift.llm.simhash import simhash_components
@@ -52,6 +53,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_texts(docs, train_model(docs))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), vocabulary_path())
 

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from seedsift.llm import network, wordvectors
 from seedsift.llm.blocks import collected, summed
-from seedsift.llm.common import byte_chunks, map_batches, text_bytes
+from seedsift.llm.common import byte_chunks, hash_sample, map_batches, text_bytes
 
 MAX_TRAINING_ROWS = 20_000
 CHUNK = 1 << 20
+SAMPLE_SEED = 3
 THRESHOLD = 0.7
 TABLE = (1 << wordvectors.BUCKETS_LOG2, wordvectors.DIMS)
 
@@ -92,10 +93,10 @@ def train_quality(
         .filter(~held_out("id"))
         .groupBy("id")
         .agg(F.min("y").alias("y"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(max_training_rows)
     )
-    chosen = spark.createDataFrame(sample.toArrow(), sample.schema)
+    chosen = spark.createDataFrame(
+        hash_sample(sample, "id", max_training_rows, SAMPLE_SEED), sample.schema
+    )
 
     def pool(batches):
         for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from seedsift.plans.bounded import settle
 
-__all__ = ["HOT_KEYS", "byte_chunks", "lookup", "map_batches", "read_table", "settle", "text_bytes"]
+__all__ = ["HOT_KEYS", "byte_chunks", "hash_sample", "lookup", "map_batches", "read_table", "settle", "text_bytes"]
 
 HOT_KEYS = 1000  # fewer than this many keys can each hold more than 1/HOT_KEYS of the rows
 CHUNK_BYTES = 4 << 20
@@ -75,6 +75,18 @@ def lookup(
     )
 
 
+def hash_sample(rows: DataFrame, id_col: str, k: int, seed: int) -> pa.Table:
+    """About ``k`` rows on the driver, never more: those whose id's seeded hash is smallest. A
+    threshold on the hash picks them where they lie, so no task sees more than its share."""
+    n = rows.count()
+    fraction = min(1.0, (k + 6 * k**0.5 + 10) / max(n, 1))
+    draw = F.shiftrightunsigned(F.xxhash64(id_col, F.lit(seed)), 11).cast("double")
+    drawn = rows.withColumn("_draw", draw * F.lit(2.0**-53)).filter(F.col("_draw") <= fraction)
+    found = drawn.limit(2 * k + 100).toArrow()
+    order = found.sort_by([("_draw", "ascending"), (id_col, "ascending")])
+    return order.slice(0, k).drop_columns(["_draw"])
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A text column as UTF-8, NULL as empty, with 64 bit offsets."""
     if isinstance(column, pa.ChunkedArray):
