@@ -10,8 +10,9 @@ anchors can repeat each other. A stretch is the run of windows that share one an
    are dropped.
 3. Where different stretches share an anchor, their bytes are fetched, one stretch of each kind,
    and the longest-previous-factor array of each group says which windows have an earlier match
-   and where. Groups of more kinds than ``MAX_GROUP`` (a common passage in ever new surroundings)
-   go window by window through an aggregate instead, which may spread over all tasks.
+   and where. A group of more kinds than ``MAX_GROUP`` (a common passage in ever new surroundings)
+   is solved in parts of about that size; windows that stay alone in their part are then counted
+   over all parts by an aggregate.
 4. Covered bytes are cut out of the texts.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedsift.llm.common import byte_chunks, lookup, map_batches, settle, text_bytes
+from seedsift.llm.common import byte_chunks, map_batches, settle, text_bytes
 from seedsift.llm.suffix import longest_previous_factors
 
 WIDTH = 200
@@ -212,50 +213,39 @@ def _local(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The wanted stretches with their bytes, or with their windows' hashes where ``hot``."""
+    """The wanted stretches with their bytes."""
     asked = wanted.groupBy("row").agg(
-        F.collect_list(F.struct("lo", "hi", "key", "single", "hot")).alias("asked")
+        F.collect_list(F.struct("lo", "hi", "key", "parts", "single")).alias("asked")
     )
 
     def run(batches):
         for batch in batches:
-            out = {name: [] for name in names}
+            out = {name: [] for name in kinds}
             for row, packed, asked in zip(
-                batch.column("row").to_pylist(),
-                batch.column("packed").to_pylist(),
-                batch.column("asked").to_pylist(),
+                *[batch.column(name).to_pylist() for name in ("row", "packed", "asked")]
             ):
                 text = _unpacked(packed)
                 for ask in asked:
-                    part = text[ask["lo"] : ask["hi"] + width]
                     out["row"].append(row)
-                    for name in ("lo", "key", "single"):
+                    for name in ("lo", "key", "parts", "single"):
                         out[name].append(ask[name])
-                    if ask["hot"]:
-                        hashes = anchor_hashes(np.frombuffer(part, np.uint8))
-                        at = np.arange(len(part) - width + 1)
-                        out["windows"].append(window_hashes(hashes, at, width).view(np.int64))
-                        out["bytes"].append(None)
-                    else:
-                        out["windows"].append(None)
-                        out["bytes"].append(part)
-            kinds = (
-                pa.int64(),
-                pa.int64(),
-                pa.int64(),
-                pa.bool_(),
-                pa.list_(pa.int64()),
-                pa.binary(),
-            )
+                    out["bytes"].append(text[ask["lo"] : ask["hi"] + width])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[name], kind) for name, kind in zip(names, kinds)], names
+                [pa.array(out[name], kind) for name, kind in kinds.items()], list(kinds)
             )
 
-    names = ["row", "lo", "key", "single", "windows", "bytes"]
+    kinds = {
+        "row": pa.int64(),
+        "lo": pa.int64(),
+        "key": pa.int64(),
+        "parts": pa.int64(),
+        "single": pa.bool_(),
+        "bytes": pa.binary(),
+    }
     return map_batches(
         _packed(docs).join(asked, "row"),
         run,
-        "row bigint, lo bigint, key bigint, single boolean, windows array<bigint>, bytes binary",
+        "row bigint, lo bigint, key bigint, parts bigint, single boolean, bytes binary",
     )
 
 
@@ -278,35 +268,78 @@ def matched_windows(parts: list[bytes], width: int, keep_first: bool) -> list[np
     return [np.flatnonzero(covered[i : i + n]) for i, n in zip(starts, sizes)]
 
 
-def _lpf(parts: DataFrame, width: int, keep_first: bool) -> DataFrame:
-    """(row, lo, hi) ranges of repeated windows; groups by ``key`` stay together."""
+SOLVED = "row bigint, lo bigint, hi bigint, key bigint, window bigint, done boolean"
+
+
+def _lpf(stretches: DataFrame, width: int, keep_first: bool) -> DataFrame:
+    """Ranges of repeated windows (``key`` NULL), and of each group that is solved in parts the
+    windows of each part, once each, at their first place there; ``done`` tells which of these need
+    no look at other parts."""
+
+    def distinct_windows(rows, i, j, covered):
+        """Of the stretches i to j, one part of a group."""
+        hashes, place = [], []
+        for k in range(i, j):
+            data = np.frombuffer(rows["bytes"][k], np.uint8)
+            at = np.arange(len(data) - width + 1)
+            hashes.append(window_hashes(anchor_hashes(data), at, width))
+            place.append(at)
+        owner = np.repeat(np.arange(i, j), [len(at) for at in place])
+        done = np.concatenate(
+            [np.isin(at, covered[k]) | (not rows["single"][k]) for k, at in zip(range(i, j), place)]
+        )
+        found, first = np.unique(np.concatenate(hashes), return_index=True)
+        row, lo = np.array(rows["row"][i:j]), np.array(rows["lo"][i:j])
+        at = lo[owner[first] - i] + np.concatenate(place)[first]
+        return row[owner[first] - i], at, found.view(np.int64), done[first]
 
     def solve(rows):
-        i = 0
-        while i < len(rows["key"]):
+        groups = list(zip(rows["key"], rows["part"]))
+        i, n = 0, len(groups)
+        while i < n:
             j, total = i, 0
-            # Whole groups, up to a bounded number of bytes.
-            while j < len(rows["key"]):
+            # Whole groups up to a bounded number of bytes, but never two parts of one: within a
+            # run "further left" must mean earlier in the input.
+            while j < n and (j == i or groups[j][0] != groups[j - 1][0]):
                 k = j
-                while k < len(rows["key"]) and rows["key"][k] == rows["key"][j]:
+                while k < n and groups[k] == groups[j]:
                     k += 1
                 size = sum(map(len, rows["bytes"][j:k]))
                 if j > i and total + size > LPF_BYTES:
                     break
                 j, total = k, total + size
+            covered = dict(
+                zip(range(i, j), matched_windows(rows["bytes"][i:j], width, keep_first))
+            )
             out = ([], [], [])
-            found = matched_windows(rows["bytes"][i:j], width, keep_first)
-            for row, at, single, windows in zip(
-                rows["row"][i:j], rows["lo"][i:j], rows["single"][i:j], found
-            ):
-                if single and len(windows):
-                    lo, hi = _runs(windows, windows)
-                    out[0].extend([row] * len(lo))
-                    out[1].extend((lo + at).tolist())
-                    out[2].extend((hi + at).tolist())
+            for k in range(i, j):
+                if rows["single"][k] and len(covered[k]):
+                    lo, hi = _runs(covered[k], covered[k])
+                    out[0].extend([rows["row"][k]] * len(lo))
+                    out[1].extend((lo + rows["lo"][k]).tolist())
+                    out[2].extend((hi + rows["lo"][k]).tolist())
+            m = len(out[0])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in out], ["row", "lo", "hi"]
+                [
+                    *[pa.array(c, pa.int64()) for c in out],
+                    pa.nulls(m, pa.int64()),
+                    pa.nulls(m, pa.int64()),
+                    pa.nulls(m, pa.bool_()),
+                ],
+                columns,
             )
+            k = i
+            while k < j:
+                last = k
+                while last < j and groups[last] == groups[k]:
+                    last += 1
+                if rows["parts"][k] > 1:
+                    row, at, window, done = distinct_windows(rows, k, last, covered)
+                    key = np.full(len(row), rows["key"][k])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c) for c in (row, at, at, key, window, done)], columns
+                    )
+                k = last
             i = j
 
     def run(batches):
@@ -314,37 +347,40 @@ def _lpf(parts: DataFrame, width: int, keep_first: bool) -> DataFrame:
         for batch in batches:
             for name in names:
                 held[name] += batch.column(name).to_pylist()
-            keys = held["key"]
-            end = len(keys)
-            while end and keys[end - 1] == keys[-1]:
+            groups = list(zip(held["key"], held["part"]))
+            end = len(groups)
+            while end and groups[end - 1] == groups[-1]:
                 end -= 1
             yield from solve({name: held[name][:end] for name in names})
             held = {name: held[name][end:] for name in names}
         yield from solve(held)
 
-    names = ["row", "lo", "key", "single", "bytes"]
-    grouped = parts.select(*names).repartition("key").sortWithinPartitions("key", "row", "lo")
-    return map_batches(grouped, run, "row bigint, lo bigint, hi bigint")
+    columns = ["row", "lo", "hi", "key", "window", "done"]
+    names = ["row", "lo", "key", "part", "parts", "single", "bytes"]
+    part = F.pmod(F.xxhash64("row", "lo"), F.col("parts"))
+    grouped = (
+        stretches.withColumn("part", part)
+        .select(*names)
+        .repartition("key", "part")
+        .sortWithinPartitions("key", "part", "row", "lo")
+    )
+    return map_batches(grouped, run, SOLVED)
 
 
-def _by_window(parts: DataFrame, keep_first: bool) -> DataFrame:
-    """The same for groups too large for one task: equal windows are counted by an aggregate."""
-    windows = settle(
-        parts.select(
-            "row", "lo", "key", "single", F.posexplode("windows").alias("pos", "window")
-        ).select("row", (F.col("lo") + F.col("pos")).alias("at"), "key", "single", "window"),
-        "windows",
-    )
-    place = F.struct("row", "at")
-    counts = windows.groupBy("key", "window").agg(
-        F.count(F.lit(1)).alias("n"), F.min(place).alias("first")
+def _across_parts(solved: DataFrame, keep_first: bool) -> DataFrame:
+    """Windows of groups solved in parts that are alone in their part but not in the group."""
+    windows = solved.filter("key IS NOT NULL")
+    place = F.struct("row", "lo")
+    repeated = (
+        windows.groupBy("key", "window")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+        .filter("n > 1")
     )
-    repeated = settle(counts.filter("n > 1"), "repeated-windows")
-    total = windows.count()
-    found = lookup(windows, repeated, ["key", "window"], "n", total).filter("single")
+    # A window has one row per part at most, so no key is large here.
+    found = windows.filter("NOT done").join(repeated, ["key", "window"])
     if keep_first:
         found = found.filter(place != F.col("first"))
-    return found.select("row", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    return found.select("row", "lo", "hi")
 
 
 def _cut(docs: DataFrame, spans: DataFrame, width: int, with_text: bool) -> DataFrame:
@@ -425,15 +461,14 @@ def repeated_windows(
         "hi",
         "key",
         single.alias("single"),
-        (F.col("kinds") > max_group).alias("hot"),
+        F.ceil(F.col("kinds") / max_group).cast("bigint").alias("parts"),
     )
-    parts = settle(_fetched(docs, wanted, width), "stretch-bytes")
-    grouped = parts.filter("bytes IS NOT NULL")
+    solved = settle(_lpf(_fetched(docs, wanted, width), width, keep_first), "solved")
     return (
         inside.select("row", F.col("r.local_lo").alias("lo"), F.col("r.local_hi").alias("hi"))
         .union(alike.select("row", "lo", "hi"))
-        .union(_lpf(grouped, width, keep_first))
-        .union(_by_window(parts.filter("windows IS NOT NULL"), keep_first))
+        .union(solved.filter("key IS NULL").select("row", "lo", "hi"))
+        .union(_across_parts(solved, keep_first))
     )
 
 
