@@ -10,6 +10,7 @@ from seedsift.llm.bpe import bpe_digests
 from seedsift.llm.classifier import score_quality, train_quality
 from seedsift.llm.common import read_table
 from seedsift.llm.interleave import interleaved_shards
+from seedsift.llm.licences import licence_scan
 from seedsift.llm.lm import score_texts, train_model
 from seedsift.llm.mixing import mixture
 from seedsift.llm.repeats import remove_repeats
@@ -43,6 +44,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read_table(spark, sf_dir, "documents"))
 
