@@ -13,6 +13,7 @@ from seedsift.llm.interleave import interleaved_shards
 from seedsift.llm.licences import licence_scan
 from seedsift.llm.lm import score_texts, train_model
 from seedsift.llm.mixing import mixture
+from seedsift.llm.neighbours import nearest_neighbours
 from seedsift.llm.repeats import remove_repeats
 from seedsift.llm.simhash import simhash_components
 
@@ -32,6 +33,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(rows, rows.filter("vec_id % 20 = 0"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(read_table(spark, sf_dir, "documents")).select(
         "doc_id",
