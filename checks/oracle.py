@@ -23,7 +23,7 @@ QUALITY = """seeds AS (
 
 def postings(column: str = "lemmas", source: str = "corpus", name: str = "postings") -> str:
     return f"""{name} AS (
-  SELECT DISTINCT unnest([x FOR x IN string_split({column}, ' ') IF x <> ''][1:10000]) AS term, doc_id
+  SELECT DISTINCT unnest([x FOR x IN string_split({column}, ' ') IF x <> '']) AS term, doc_id
   FROM {source})"""
 
 
@@ -31,16 +31,21 @@ DOC_TAGS = """doc_tags AS (
   SELECT DISTINCT doc_id, unnest(string_split(tags, ' ')) AS tag FROM {source})"""
 
 
+def six(x: str) -> str:
+    """Six decimals, halves upwards, in arithmetic that every engine does alike."""
+    return f"(floor(({x}) * 1e6 + 0.5) / 1e6)"
+
+
 def num(x: str, name: str | None = None) -> str:
     name = name or x
-    return f"CASE WHEN round({x}, 6) = 0 THEN 0.0 ELSE round({x}, 6) END AS {name}"
+    return f"CASE WHEN {six(x)} = 0 THEN 0.0 ELSE {six(x)} END AS {name}"
 
 
 def fin(x: str, name: str | None = None) -> str:
     name = name or x
     return (
-        f"CASE WHEN NOT isfinite({x}) THEN NULL WHEN round({x}, 6) = 0 THEN 0.0"
-        f" ELSE round({x}, 6) END AS {name},"
+        f"CASE WHEN NOT isfinite({x}) THEN NULL WHEN {six(x)} = 0 THEN 0.0"
+        f" ELSE {six(x)} END AS {name},"
         f" CASE WHEN isnan({x}) THEN 'nan' WHEN {x} = 'inf'::DOUBLE THEN '+inf'"
         f" WHEN {x} = '-inf'::DOUBLE THEN '-inf' WHEN {x} IS NOT NULL THEN 'finite' END AS {name}_state"
     )
@@ -166,9 +171,9 @@ DRIFT = (
 
 RANKED = """ranked AS (
   SELECT *, row_number() OVER (PARTITION BY klass ORDER BY {key} DESC{nulls}, term) AS rank FROM model)"""
-BY_SCORE = RANKED.format(key="round(score, 12)", nulls="")
+BY_SCORE = RANKED.format(key="score", nulls="")
 BY_SCORE_NAN_LAST = RANKED.format(
-    key="CASE WHEN isnan(score) THEN NULL ELSE round(score, 12) END", nulls=" NULLS LAST"
+    key="CASE WHEN isnan(score) THEN NULL ELSE score END", nulls=" NULLS LAST"
 )
 
 
@@ -177,7 +182,7 @@ def features(n: int) -> str:
 
 
 SCORED = """scores AS (
-  SELECT f.klass, s.doc_id, round(sum(f.log_likelihood), 9) AS score
+  SELECT f.klass, s.doc_id, sum(f.log_likelihood ORDER BY f.rank) AS score
   FROM postings s JOIN features f USING (term) GROUP BY ALL)"""
 
 
@@ -194,7 +199,7 @@ def scored(n: int = 50, total: str = "all_docs + u", labels: str = TOXIC, field:
 
 
 def doc_scores(weights: str, docs: str = "corpus", id_col: str = "doc_id") -> str:
-    return f"""SELECT d.doc_id, {num("round(coalesce(sum(w.log_likelihood), 0.0), 9)", "score")}
+    return f"""SELECT d.doc_id, {num("coalesce(sum(w.log_likelihood), 0.0)", "score")}
 FROM (SELECT {id_col} AS doc_id, unnest(string_split(lemmas, ' ')) AS term FROM {docs}) d
 LEFT JOIN ({weights}) w USING (term) GROUP BY d.doc_id"""
 
@@ -206,13 +211,16 @@ SNIPPET = (
 )
 
 
-def search(labels: str = TOXIC, field: str = "lemmas") -> str:
+def search(
+    labels: str = TOXIC, field: str = "lemmas", place: str = "", order: str = "score DESC, doc_id"
+) -> str:
+    position = f", row_number() OVER (ORDER BY best.{order.replace(', ', ', best.')}) AS position"
     return (
         scored(51, labels=labels, field=field)
         + f""", best AS (
   SELECT doc_id, score FROM scores WHERE doc_id NOT IN (SELECT doc_id FROM seeds)
   ORDER BY score DESC, doc_id LIMIT 20)
-SELECT doc_id, {num("score")}, id, coalesce(title, '') AS title, {SNIPPET.format(field)}
+SELECT doc_id, {num("score")}, id, coalesce(title, '') AS title, {SNIPPET.format(field)}{position if place else ""}
 FROM best JOIN corpus USING (doc_id)"""
     )
 
@@ -223,6 +231,16 @@ FREE = """, free AS (
 """
 
 
+KNOWN = """seeds AS (
+  SELECT DISTINCT CASE WHEN toxic = 1 THEN 0 ELSE 1 END AS klass, doc_id FROM labels WHERE quality = 1)"""
+CANDIDATES = with_(
+    CORPUS, SPLIT, KNOWN, *model(), BY_SCORE, features(50), postings(), SCORED
+) + """, free AS (
+  SELECT c.id, s.score FROM scores s JOIN split_corpus c USING (doc_id)
+  WHERE c.is_training AND s.doc_id NOT IN (SELECT doc_id FROM seeds))
+"""
+
+
 def tags_model(drift: bool = False) -> str:
     """CTEs of the one-against-the-rest experiment up to ``ranking`` over the test documents."""
     total = (
@@ -264,7 +282,7 @@ def tags_model(drift: bool = False) -> str:
          CAST(sum(CASE WHEN gold THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp
   FROM facts WHERE NOT is_training WINDOW w AS (PARTITION BY klass ORDER BY score DESC, id))""",
         """curve AS (
-  SELECT *, 2 * (p * r) / (p + r) AS f1 FROM (
+  SELECT *, CASE WHEN tp = 0 THEN 'nan'::DOUBLE ELSE (2 * tp)::DOUBLE / (position + n_gold) END AS f1 FROM (
     SELECT klass, n_gold, position, id, tp, tp::DOUBLE / position AS p, tp::DOUBLE / n_gold AS r
     FROM ranking JOIN overview USING (klass)))""",
         # The definition itself: the first rank with r <> 0 and r >= p, else the last rank.
@@ -398,18 +416,21 @@ WHERE klass = {MEMBER} AND rank <= 51""",
     "resumed_scores": scored(50) + f"SELECT klass, doc_id, {num('score')} FROM scores",
     "member_flags": scored(50)
     + "SELECT doc_id, score > 0 AS is_member, printf('%.6e', exp(score)) AS odds FROM scores",
-    "search_top20": search(),
+    "search_top20": search(place="position"),
     "search_stored_index_top20": search(),
     "search_result_lines": "SELECT concat_ws(chr(9), CAST(score AS VARCHAR), id, title, snippet) AS line"
     f" FROM ({search()})",
-    "search_quality_worst_first": search(QUALITY),
+    "search_quality_worst_first": search(QUALITY, place="position", order="score, doc_id DESC"),
     "search_titles_top20": search(field="title"),
-    "unlabelled_ranking": scored(50) + FREE + f"SELECT id, {num('score')} FROM free",
-    "next_example_top": scored(50) + FREE + f"SELECT id, {num('score')} FROM free ORDER BY free.score DESC, id LIMIT 1",
-    "next_example_uncertain": scored(50)
+    "unlabelled_ranking": scored(50)
     + FREE
+    + f"SELECT id, {num('score')}, row_number() OVER (ORDER BY free.score DESC, id) AS position FROM free",
+    "next_example_top": CANDIDATES
+    + f"SELECT id, {num('score')} FROM free ORDER BY free.score DESC, id LIMIT 1",
+    "next_example_uncertain": CANDIDATES
     + f"SELECT id, {num('score')} FROM free ORDER BY abs(free.score), id LIMIT 1",
-    "next_example_random": scored(50) + FREE + f"SELECT id, {num('score')} FROM free ORDER BY md5('7:' || id), id LIMIT 1",
+    "next_example_random": CANDIDATES
+    + f"SELECT id, {num('score')} FROM free ORDER BY md5('7:' || id), id LIMIT 1",
     "train_from_id_sets": T_MODEL + f"SELECT klass, term, {fin('log_likelihood')} FROM model",
     "score_collection": scored(50)
     + f"SELECT doc_id, id, {num('score')} FROM scores JOIN corpus USING (doc_id)",

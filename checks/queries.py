@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from checks.tables import (
     corpus,
     corpus_file,
+    in_order,
     rounded,
     seed_lines,
     shown,
@@ -416,7 +417,8 @@ def member_flags(spark, sf_dir):
 @query
 def search_top20(spark, sf_dir):
     index = ix.index_view(corpus(spark, sf_dir))
-    return rounded(search_by_example(index, parse_seeds(seed_lines(spark, sf_dir))), "score")
+    found = search_by_example(index, parse_seeds(seed_lines(spark, sf_dir)))
+    return rounded(in_order(found), "score")
 
 
 @query
@@ -429,7 +431,7 @@ def search_stored_index_top20(spark, sf_dir):
 def search_result_lines(spark, sf_dir):
     """The printed form of a search, through the text sink."""
     path = scratch_path(spark, "results")
-    write_results(search_top20(spark, sf_dir), path)
+    write_results(search_top20(spark, sf_dir).drop("position"), path)
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
@@ -437,7 +439,8 @@ def search_result_lines(spark, sf_dir):
 def search_quality_worst_first(spark, sf_dir):
     index = ix.index_view(corpus(spark, sf_dir))
     seeds = parse_seeds(seed_lines(spark, sf_dir, "quality"))
-    return rounded(search_by_example(index, seeds, SearchOptions(worst_first=True)), "score")
+    found = search_by_example(index, seeds, SearchOptions(worst_first=True))
+    return rounded(in_order(found), "score")
 
 
 @query
@@ -450,7 +453,7 @@ def search_titles_top20(spark, sf_dir):
 @query
 def unlabelled_ranking(spark, sf_dir):
     """All retrieved documents without the seeds, best first."""
-    return rounded(full_ranking(_unlabelled_scores(spark, sf_dir)), "score")
+    return rounded(in_order(full_ranking(_unlabelled_scores(spark, sf_dir))), "score")
 
 
 def _unlabelled_scores(spark, sf_dir):
@@ -460,19 +463,29 @@ def _unlabelled_scores(spark, sf_dir):
     return lb.without_labelled(scored, labels).select("id", "score")
 
 
+def _candidates(spark, sf_dir):
+    """Training documents that are not labelled: labels of high quality are known, all others
+    still to be given."""
+    docs = split_corpus(spark, sf_dir)
+    known = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    labels = toxic_labels(spark, sf_dir).join(known, "doc_id", "left_semi")
+    scored = ex.score_collection(docs, ix.postings(docs), learn(docs, labels))
+    return lb.unlabelled_training(scored, labels).select("id", "score")
+
+
 @query
 def next_example_top(spark, sf_dir):
-    return rounded(next_example(_unlabelled_scores(spark, sf_dir)), "score")
+    return rounded(next_example(_candidates(spark, sf_dir)), "score")
 
 
 @query
 def next_example_uncertain(spark, sf_dir):
-    return rounded(next_example(_unlabelled_scores(spark, sf_dir), "uncertain"), "score")
+    return rounded(next_example(_candidates(spark, sf_dir), "uncertain"), "score")
 
 
 @query
 def next_example_random(spark, sf_dir):
-    return rounded(next_example(_unlabelled_scores(spark, sf_dir), "random", seed=7), "score")
+    return rounded(next_example(_candidates(spark, sf_dir), "random", seed=7), "score")
 
 
 # Experiments -----------------------------------------------------------------------------------

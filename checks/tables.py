@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedsift.functions.ieee import finite_or_null, number_state
 from seedsift.plans.bounded import scratch_path
+from seedsift.plans.prefix import ranks
 from seedsift.sources.index import spread
 from seedsift.sources.seeds import MEMBER, OTHER
 
@@ -82,10 +83,21 @@ def corpus_file(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def six(value: Column) -> Column:
+    """Six decimals, halves upwards, in arithmetic that every engine does alike."""
+    return F.floor(value * 1e6 + 0.5) / 1e6
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """Adds ``position``, the place of each row in a sorted frame as it comes."""
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    return ranks(placed, [], [F.col("_place")], "position").drop("_place")
+
+
 def shown(df: DataFrame, *numbers: str) -> DataFrame:
     """Doubles at 6 decimals; NaN and infinities become NULL with a ``_state`` column."""
     for name in numbers:
-        value = F.round(finite_or_null(name), 6)
+        value = six(finite_or_null(name))
         df = df.withColumn(f"{name}_state", number_state(name)).withColumn(
             name, F.when(value == 0, F.lit(0.0)).otherwise(value)
         )
@@ -95,6 +107,6 @@ def shown(df: DataFrame, *numbers: str) -> DataFrame:
 def rounded(df: DataFrame, *numbers: str) -> DataFrame:
     """Doubles that are always finite, at 6 decimals."""
     for name in numbers:
-        value = F.round(F.col(name), 6)
+        value = six(F.col(name))
         df = df.withColumn(name, F.when(value == 0, F.lit(0.0)).otherwise(value))
     return df

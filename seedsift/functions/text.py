@@ -6,8 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MIN_TERM_LENGTH = 3
-MAX_FIELD_TOKENS = 10_000
-MAX_WORD_LENGTH = 255
 SNIPPET_KEEP = 75
 
 
@@ -20,15 +18,16 @@ def space_tokens(text: Column) -> Column:
 
 
 def whitespace_tokens(
-    text: Column, max_tokens: int = MAX_FIELD_TOKENS, max_word: int = MAX_WORD_LENGTH
+    text: Column, max_tokens: int | None = None, max_word: int | None = None
 ) -> Column:
-    """Index side: runs of non-whitespace, case kept, the first ``max_tokens`` of a field.
+    """Index side: runs of non-whitespace, case kept; the no-break spaces do not separate tokens.
 
-    A run longer than ``max_word`` characters is cut into pieces of that length, as the
-    reference's analyzer does. The no-break spaces do not separate tokens.
+    By default every token is kept whole. ``max_tokens`` keeps the first tokens of a field only,
+    ``max_word`` cuts a longer run into pieces of that length, as the reference's limited mode does.
     """
-    runs = F.regexp_extract_all(text, F.lit(r"\P{javaWhitespace}{1,%d}" % max_word), F.lit(0))
-    return F.slice(runs, 1, max_tokens)
+    size = "+" if max_word is None else "{1,%d}" % max_word
+    runs = F.regexp_extract_all(text, F.lit(r"\P{javaWhitespace}" + size), F.lit(0))
+    return runs if max_tokens is None else F.slice(runs, 1, max_tokens)
 
 
 def long_enough(term: Column, minimum: int = MIN_TERM_LENGTH) -> Column:

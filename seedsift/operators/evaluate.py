@@ -18,7 +18,9 @@ def with_rates(counts: DataFrame) -> DataFrame:
     """Adds ``p``, ``r`` and ``f1`` of ``tp`` among ``position`` retrieved and ``n_gold`` wanted."""
     p, r = ieee_div("double(tp)", "double(position)"), ieee_div("double(tp)", "double(n_gold)")
     rates = counts.selectExpr("*", f"{p} AS p", f"{r} AS r")
-    return rates.selectExpr("*", f"{ieee_div('2D * (p * r)', 'p + r')} AS f1")
+    # 2 p r / (p + r) in whole numbers; without a true positive it is 0 / 0.
+    f1 = "CASE WHEN tp = 0 THEN double('NaN') ELSE double(2 * tp) / (position + n_gold) END"
+    return rates.selectExpr("*", f"{f1} AS f1")
 
 
 def confusion(ranked: DataFrame) -> DataFrame:

@@ -61,6 +61,11 @@ def without_labelled(scores: DataFrame, labels: DataFrame) -> DataFrame:
     return scores.join(labels.select("doc_id"), "doc_id", "left_anti")
 
 
+def unlabelled_training(scores: DataFrame, labels: DataFrame, id_col: str = "id") -> DataFrame:
+    """What may be labelled next: scored training documents without a label."""
+    return without_labelled(scores.filter(has_prefix(id_col, TRAINING_PREFIX)), labels)
+
+
 def with_gold_flag(scores: DataFrame, gold: DataFrame, on: list[str]) -> DataFrame:
     marked = gold.select(*on).dropDuplicates().withColumn("_hit", F.lit(True))
     return (

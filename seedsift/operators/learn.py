@@ -190,8 +190,9 @@ def unseen_terms(counts: DataFrame) -> DataFrame:
 
 
 def rank_order(nan_policy: str = "ieee") -> list[Column]:
-    """Best feature first. Scores are compared at 12 decimals, the term breaks ties."""
-    score = F.round("score", 12)
+    """Best feature first, the term breaks ties. Scores come from the counts of one row, so equal
+    counts give equal doubles and nothing needs rounding."""
+    score = F.col("score")
     if nan_policy == "limit0":
         return [F.when(~F.isnan("score"), score).desc_nulls_last(), F.col("term")]
     return [score.desc(), F.col("term")]

@@ -3,8 +3,9 @@
 Posting scores count a (document, term) pair once and return only documents with a selected
 feature. Document scores count every token occurrence and return 0.0 for a document without any.
 
-Sums are rounded to 9 decimals, which hides the noise of the order in which tasks deliver their
-parts from rankings and from the decision ``score > 0``, unless a sum lies on a rounding boundary.
+Scores are plain doubles. The few hits of a document are added up in the order of the features'
+ranks, so a score does not depend on the order in which tasks deliver their parts, and step by step
+gives the same doubles as all at once.
 """
 
 from __future__ import annotations
@@ -31,13 +32,15 @@ from seedsift.sources.index import restrict_to_terms
 FEATURES_EXPERIMENT = 50
 FEATURES_SEARCH = 51  # the search tool stops after the step with index 50
 PUSHED_TERMS = 500
-SCORE_DECIMALS = 9
 
 _FEATURE_COLUMNS = ("klass", "term", "rank", "log_likelihood")
 
 
-def _rounded(total: Column) -> Column:
-    return F.round(total, SCORE_DECIMALS)
+def _summed(rank: str, value: str) -> Column:
+    """The sum of the values that are there, in the order of ``rank``; 0.0 where there is none."""
+    part = F.struct(F.col(rank).alias("r"), F.col(value).alias("v"))
+    parts = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), part)))
+    return F.aggregate(parts, F.lit(0.0), lambda total, part: total + part["v"])
 
 
 def posting_hits(term_postings: DataFrame, features: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def posting_hits(term_postings: DataFrame, features: DataFrame) -> DataFrame:
 def posting_scores(term_postings: DataFrame, features: DataFrame) -> DataFrame:
     """(klass, doc_id, score): the sum over the distinct selected terms of a document."""
     hits = posting_hits(term_postings, features)
-    return hits.groupBy("klass", "doc_id").agg(_rounded(F.sum("log_likelihood")).alias("score"))
+    return hits.groupBy("klass", "doc_id").agg(_summed("rank", "log_likelihood").alias("score"))
 
 
 def stepwise_scores(term_postings: DataFrame, features: DataFrame) -> DataFrame:
@@ -78,7 +81,7 @@ def stepwise_scores(term_postings: DataFrame, features: DataFrame) -> DataFrame:
         "klass",
         "doc_id",
         (F.col("rank") - 1).alias("iteration"),
-        _rounded(F.sum("log_likelihood").over(steps)).alias("log_score"),
+        F.sum("log_likelihood").over(steps).alias("log_score"),
     )
 
 
@@ -91,12 +94,14 @@ def resume_scores(
     """
     done = from_iteration + 1
     further = features.filter((F.col("rank") > done) & (F.col("rank") <= done + n))
-    added = posting_scores(term_postings, further)
+    added = posting_hits(term_postings, further).select(
+        "klass", "doc_id", F.col("log_likelihood").alias("score"), "rank"
+    )
     return (
-        previous.select("klass", "doc_id", "score")
+        previous.select("klass", "doc_id", "score", F.lit(0).cast("int").alias("rank"))
         .unionByName(added)
         .groupBy("klass", "doc_id")
-        .agg(_rounded(F.sum("score")).alias("score"))
+        .agg(_summed("rank", "score").alias("score"))
     )
 
 
@@ -118,18 +123,15 @@ def document_scores(
     if n >= 0:
         chosen = top_features(chosen, n, nan_policy)
     weights = settle(chosen.select("term", "log_likelihood"), "weights")
-    tokens = docs.select("doc_id", F.explode_outer(space_tokens(F.col(text_col))).alias("term"))
+    tokens = docs.select(
+        "doc_id", F.posexplode_outer(space_tokens(F.col(text_col))).alias("pos", "term")
+    )
     if measured_bytes(weights) <= max_bytes:
-        # The tokens of a document stand together: each task forwards one sum per document.
         weighted = tokens.join(F.broadcast(weights), "term", "left")
-        parts = F.sum("log_likelihood")
     else:
-        counted = tokens.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-        weighted = hot_split_join(counted, weights, ["term"], "left", hot_share)
-        parts = F.sum(F.col("tf") * F.col("log_likelihood"))
-    return weighted.groupBy("doc_id").agg(
-        _rounded(F.coalesce(parts, F.lit(0.0))).alias("score")
-    )
+        weighted = hot_split_join(tokens, weights, ["term"], "left", hot_share)
+    # Added up in the order of the tokens; a group is as long as a document.
+    return weighted.groupBy("doc_id").agg(_summed("pos", "log_likelihood").alias("score"))
 
 
 def score_indexed_documents(

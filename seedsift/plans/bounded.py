@@ -6,9 +6,10 @@ Three tools:
                     survives the loss of executors, and Catalyst knows its real size.
 * ``fetch_bounded`` brings a frame to the driver only if it has at most ``limit`` rows; ``pin``
                     keeps such rows in the plan and settles any larger frame.
-* ``keyed_join``    joins a large frame to a smaller one with unique keys: broadcast when the
-                    measured size allows it, otherwise a shuffle join in which the hot keys are
-                    split off first and joined by broadcast.
+* ``keyed_join``    joins a large frame to a smaller one: by default as adaptive execution
+                    decides from the sizes it sees; with explicit bounds by broadcast when the
+                    measured size allows it, otherwise by a shuffle join in which the hot keys are
+                    split off first.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,13 +93,19 @@ def keyed_join(
     small: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    max_rows: int = DRIVER_ROWS,
+    max_rows: int | None = None,
     max_bytes: int = BROADCAST_BYTES,
     hot_share: int = HOT_SHARE,
 ) -> DataFrame:
-    """``big`` joined (inner or left) to ``small``, with a size check before any broadcast."""
+    """``big`` joined (inner or left) to ``small``.
+
+    Without ``max_rows`` this is a plain join: no job runs while it is built, and Spark broadcasts
+    only a side whose size it has measured. ``max_rows=0`` is for keys that may be hot.
+    """
     if how not in ("inner", "left"):
         raise ValueError("keyed_join does inner and left joins")
+    if max_rows is None:
+        return big.join(small, list(on), how)
     local = bounded_frame(small, max_rows) if max_rows else None
     if local is not None:
         return big.join(F.broadcast(local), list(on), how)
@@ -113,20 +120,28 @@ def hot_split_join(
 ) -> DataFrame:
     """Shuffle join whose hot keys take a broadcast instead.
 
-    Fewer than ``hot_share`` keys can each hold more than 1/hot_share of the rows, so the
-    broadcast part is bounded by construction and no shuffled key is large.
+    Fewer than ``hot_share`` keys can each hold more than 1/hot_share of the rows, so no shuffled
+    key is large; what ``small`` has for them is measured before it is broadcast, since its keys
+    need not be unique. Rows with a NULL key have no partner and take no part in the shuffle.
     """
     keys = list(on)
     per_key = settle(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
     rows = per_key.agg(F.sum("_n")).first()[0] or 0
-    hot = F.broadcast(per_key.filter(F.col("_n") > rows / hot_share).select(*keys))
-    hot_part = big.join(hot, keys, "left_semi").join(
-        F.broadcast(small.join(hot, keys, "left_semi")), keys, how
-    )
-    cold_part = big.join(hot, keys, "left_anti").join(
-        small.join(hot, keys, "left_anti"), keys, how
+    hot = F.broadcast(per_key.filter(F.col("_n") > rows / hot_share).select(*keys).dropna())
+    hot_small = small.join(hot, keys, "left_semi")
+    if measured_bytes(hot_small) <= BROADCAST_BYTES:
+        hot_small = F.broadcast(hot_small)
+    hot_part = big.join(hot, keys, "left_semi").join(hot_small, keys, how)
+    whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    cold_part = (
+        big.filter(whole)
+        .join(hot, keys, "left_anti")
+        .join(small.join(hot, keys, "left_anti"), keys, how)
     )
-    return hot_part.unionByName(cold_part)
+    joined = hot_part.unionByName(cold_part)
+    if how == "left":
+        joined = joined.unionByName(big.filter(~whole), allowMissingColumns=True)
+    return joined
 
 
 def in_list(column: str, values: Sequence, spark: SparkSession) -> Column:

@@ -18,12 +18,19 @@ from seedsift.sources.index import Index, build_index, pick_documents
 from seedsift.sources.seeds import MEMBER
 
 
-def index_corpus(spark: SparkSession, corpus_path, index_path: str) -> tuple[Index, DataFrame]:
-    """Indexes a corpus file; also returns the rejected lines with their numbers."""
-    lines = read_lines(spark, corpus_path)
+def index_corpus(
+    spark: SparkSession,
+    corpus_path,
+    index_path: str,
+    max_tokens: int | None = None,
+    max_word: int | None = None,
+) -> tuple[Index, DataFrame]:
+    """Indexes a corpus of one or several files, in the order of the files; also returns the
+    rejected lines with their numbers."""
+    lines = number_lines(read_lines(spark, corpus_path))
     documents = parse_lines(lines).select("doc_id", "id", "title", "lemmas", "tags")
-    rejects = rejected_lines(number_lines(lines)).select("file_path", "line_no", "raw_line")
-    return build_index(documents, index_path), rejects
+    rejects = rejected_lines(lines).select("file_path", "line_no", "raw_line")
+    return build_index(documents, index_path, max_tokens, max_word), rejects
 
 
 @dataclass(frozen=True)

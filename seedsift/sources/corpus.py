@@ -22,7 +22,8 @@ CORPUS_SCHEMA = T.StructType(
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
-    """Every line with ``doc_id``, a unique number that grows along each input split."""
+    """Every line with ``doc_id``, a unique number that grows along each input split, but says
+    nothing about the order of the splits: those are packed by size. See ``number_lines``."""
     return spark.read.text(path).select(
         F.monotonically_increasing_id().alias("doc_id"),
         "value",
@@ -32,9 +33,11 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """Adds ``line_no``, the exact 1-based number in the order of the files.
+    """Adds ``line_no``, the exact 1-based number in the order of the files, and lets ``doc_id``
+    follow it from 0, so that "the earlier document" means the same for any number of files.
 
-    Lines are counted per input split; only those counts (one row a split) are accumulated.
+    Lines are counted per input split, by one more pass over the files; only those counts (one row
+    a split) are accumulated.
     """
     split = ["file_path", "block_start"]
     counts = lines.groupBy(*split).agg(
@@ -44,9 +47,11 @@ def number_lines(lines: DataFrame) -> DataFrame:
     offsets = counts.select(
         *split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
+    place = F.col("_before") + F.col("doc_id") - F.col("_first")
     return keyed_join(lines, offsets, split).select(
-        *lines.columns,
-        (F.col("_before") + F.col("doc_id") - F.col("_first") + 1).alias("line_no"),
+        place.alias("doc_id"),
+        *[c for c in lines.columns if c != "doc_id"],
+        (place + 1).alias("line_no"),
     )
 
 
@@ -75,7 +80,8 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path) -> DataFrame:
-    return parse_lines(read_lines(spark, path)).select(*CORPUS_SCHEMA.fieldNames())
+    lines = number_lines(read_lines(spark, path))
+    return parse_lines(lines).select(*CORPUS_SCHEMA.fieldNames())
 
 
 def corpus_from_rows(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:

@@ -13,25 +13,35 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedsift.functions.text import MAX_FIELD_TOKENS, whitespace_tokens
+from seedsift.functions.text import whitespace_tokens
 from seedsift.plans.bounded import fetch_bounded, in_list
 
 
-def _terms_of(docs: DataFrame, column: str, name: str, max_tokens: int) -> DataFrame:
-    tokens = F.array_distinct(whitespace_tokens(F.col(column), max_tokens))
+def _terms_of(
+    docs: DataFrame, column: str, name: str, max_tokens: int | None, max_word: int | None
+) -> DataFrame:
+    tokens = F.array_distinct(whitespace_tokens(F.col(column), max_tokens, max_word))
     return docs.select("doc_id", F.explode(tokens).alias(name))
 
 
 def postings(
-    docs: DataFrame, text_col: str = "lemmas", max_tokens: int = MAX_FIELD_TOKENS
+    docs: DataFrame,
+    text_col: str = "lemmas",
+    max_tokens: int | None = None,
+    max_word: int | None = None,
 ) -> DataFrame:
     """(term, doc_id), each pair once."""
-    return _terms_of(docs, text_col, "term", max_tokens).select("term", "doc_id")
+    return _terms_of(docs, text_col, "term", max_tokens, max_word).select("term", "doc_id")
 
 
-def doc_tags(docs: DataFrame, tags_col: str = "tags") -> DataFrame:
+def doc_tags(
+    docs: DataFrame,
+    tags_col: str = "tags",
+    max_tokens: int | None = None,
+    max_word: int | None = None,
+) -> DataFrame:
     """(doc_id, tag), each pair once."""
-    return _terms_of(docs, tags_col, "tag", MAX_FIELD_TOKENS)
+    return _terms_of(docs, tags_col, "tag", max_tokens, max_word)
 
 
 def document_frequency(term_postings: DataFrame) -> DataFrame:
@@ -85,13 +95,24 @@ class Index:
         return {"lemmas": self.text, "title": self.title}[field]
 
 
-def index_view(docs: DataFrame) -> Index:
+def index_view(
+    docs: DataFrame, max_tokens: int | None = None, max_word: int | None = None
+) -> Index:
     """The same tables without writing anything."""
-    return Index(docs, postings(docs), postings(docs, "title"), doc_tags(docs))
+    limits = {"max_tokens": max_tokens, "max_word": max_word}
+    return Index(
+        docs,
+        postings(docs, **limits),
+        postings(docs, "title", **limits),
+        doc_tags(docs, **limits),
+    )
 
 
-def build_index(docs: DataFrame, path: str) -> Index:
-    """Writes the index, replacing one that is there, and opens it.
+def build_index(
+    docs: DataFrame, path: str, max_tokens: int | None = None, max_word: int | None = None
+) -> Index:
+    """Writes the index, replacing one that is there, and opens it. All tokens of a field are
+    indexed unless limits are given.
 
     The other tables derive from the stored documents, so the document numbers agree even
     when a task is repeated.
@@ -99,10 +120,11 @@ def build_index(docs: DataFrame, path: str) -> Index:
     spark = docs.sparkSession
     docs.sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/docs")
     stored = spark.read.schema(docs.schema).parquet(f"{path}/docs")
+    view = index_view(stored, max_tokens, max_word)
     for name, table, key in (
-        ("text", postings(stored), "term"),
-        ("title", postings(stored, "title"), "term"),
-        ("tags", doc_tags(stored), "tag"),
+        ("text", view.text, "term"),
+        ("title", view.title, "term"),
+        ("tags", view.tags, "tag"),
     ):
         ordered = table.sortWithinPartitions(key, "doc_id").write.mode("overwrite")
         ordered.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{path}/{name}")

@@ -80,7 +80,7 @@ def ranking(model):
 
     def key(term):
         score = model[term][2]
-        return (0, 0, term) if math.isnan(score) else (1, -round(score, 12), term)
+        return (0, 0, term) if math.isnan(score) else (1, -score, term)
 
     return sorted(model, key=key)
 
@@ -91,7 +91,9 @@ def posting_scores(texts, model, n):
     for doc, text in texts.items():
         hits = [model[t][1] for t in best if t in set(text.split())]
         if hits:
-            scores[doc] = round(sum(hits), 9)
+            scores[doc] = 0.0
+            for hit in hits:  # plain additions, in the order of the ranks
+                scores[doc] += hit
     return scores
 
 
@@ -102,12 +104,12 @@ def break_even(golds, n_gold):
     for position, gold in enumerate(golds, 1):
         tp += gold
         p, r = div(tp, position), div(tp, n_gold)
-        f1 = div(2 * (p * r), p + r)
+        f1 = 2 * tp / (position + n_gold) if tp else math.nan
         if r != 0 and r >= p and at is None:
             at = (p, r, f1)
     if at is None:
         p, r = div(tp, len(golds)), div(tp, n_gold)
-        at = (p, r, div(2 * (p * r), p + r))
+        at = (p, r, 2 * tp / (len(golds) + n_gold) if tp else math.nan)
     return at
 
 

@@ -54,17 +54,21 @@ def test_number_states(spark):
         ("a　b", ["a", "b"]),
         ("a b", ["a b"]),
         ("", []),
-        ("x" * 600, ["x" * 255, "x" * 255, "x" * 90]),
+        ("x" * 600, ["x" * 600]),
     ],
 )
 def test_whitespace_tokens(spark, value, tokens):
     assert one(spark, text.whitespace_tokens(F.col("v")), v=value) == tokens
 
 
-def test_token_limit_counts_tokens_before_they_are_made_distinct(spark):
+def test_limits_only_where_they_are_asked_for(spark):
     long = " ".join(["same"] * 9_999 + ["last", "beyond"])
-    tokens = one(spark, F.array_distinct(text.whitespace_tokens(F.col("v"))), v=long)
-    assert tokens == ["same", "last"]
+    tokens = text.whitespace_tokens(F.col("v"))
+    assert one(spark, F.array_distinct(tokens), v=long) == ["same", "last", "beyond"]
+    limited = text.whitespace_tokens(F.col("v"), max_tokens=10_000)
+    assert one(spark, F.array_distinct(limited), v=long) == ["same", "last"]
+    cut = text.whitespace_tokens(F.col("v"), max_word=255)
+    assert one(spark, cut, v="x" * 600) == ["x" * 255, "x" * 255, "x" * 90]
 
 
 def test_space_tokens_keep_other_whitespace(spark):

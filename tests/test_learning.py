@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
+from seedsift.functions.ieee import is_member
 from seedsift.operators.counts import count_terms, count_terms_by_problem, count_terms_one_vs_rest
 from seedsift.operators.feature_scores import FEATURE_SCORES
 from seedsift.operators.learn import (
@@ -196,18 +197,57 @@ def test_steps_snapshots_and_resumption(docs, ranked):
     for r in sorted(steps, key=lambda r: r["iteration"]):
         last[r["doc_id"]] = r["log_score"]
     nine = {r["doc_id"]: r["score"] for r in posting_scores(postings(docs), features.filter("rank <= 9")).collect()}
-    assert last == pytest.approx(nine, abs=1e-8)
+    assert last == nine
 
     search = StepSearch(postings(docs), ranked, 1)
     three = search.steps(None, 3)
     before = three.scores.collect()
     more = search.steps(three, 6)
     assert (three.number, more.number) == (2, 8)
-    assert {r["doc_id"]: r["score"] for r in more.scores.collect()} == pytest.approx(nine, abs=1e-8)
+    assert {r["doc_id"]: r["score"] for r in more.scores.collect()} == nine
     assert sorted(three.scores.collect()) == sorted(before)  # later steps leave it alone
     assert search.steps(more, 0) is more
     end = search.steps(more, 10_000)
     assert end.number == search.n_features - 1 and not search.has_next(end)
 
     resumed = resume_scores(three.scores, postings(docs), features, 2, 6)
-    assert {r["doc_id"]: r["score"] for r in resumed.collect()} == pytest.approx(nine, abs=1e-8)
+    assert {r["doc_id"]: r["score"] for r in resumed.collect()} == nine
+
+
+def test_single_steps_give_the_same_doubles_as_one_job(spark):
+    rng = random.Random(4)
+    terms = [f"w{i:02}" for i in range(12)]
+    docs = spark.createDataFrame(
+        [(t, d) for d in range(40) for t in rng.sample(terms, 7)], "term string, doc_id bigint"
+    )
+    features = spark.createDataFrame(
+        [(0, t, i + 1, rng.uniform(-1, 1) * 10 ** rng.randint(-6, 2)) for i, t in enumerate(terms)],
+        "klass int, term string, rank int, log_likelihood double",
+    )
+    search, at = StepSearch(docs, features, 0), None
+    for _ in terms:
+        at = search.step(at)
+    whole = posting_scores(docs, features).select("doc_id", "score")
+    assert sorted(map(tuple, at.scores.select("doc_id", "score").collect())) == sorted(
+        map(tuple, whole.collect())
+    )
+
+
+def test_a_tiny_score_is_still_a_member(spark):
+    docs = spark.createDataFrame([("www", 1), ("vvv", 1), ("vvv", 2)], "term string, doc_id bigint")
+    features = spark.createDataFrame(
+        [(0, "www", 1, 1.0), (0, "vvv", 2, -1.0 + 4e-10)],
+        "klass int, term string, rank int, log_likelihood double",
+    )
+    scores = posting_scores(docs, features).withColumn("member", is_member(F.col("score")))
+    found = {r["doc_id"]: (r["score"], r["member"]) for r in scores.collect()}
+    assert found[1] == (pytest.approx(4e-10, rel=1e-5), True) and found[2][1] is False
+
+
+def test_features_that_differ_by_less_than_rounding_keep_their_order(spark):
+    model = spark.createDataFrame(
+        [(0, "aaa", 2.4266e-13), (0, "zzz", 2.4267e-13), (0, "mmm", 2.4266e-13)],
+        "klass int, term string, score double",
+    )
+    ranked = rank_features(model).orderBy("rank").collect()
+    assert [r["term"] for r in ranked] == ["zzz", "aaa", "mmm"]

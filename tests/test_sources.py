@@ -183,3 +183,27 @@ def test_evaluation_lines(spark, tmp_path):
     frame = spark.createDataFrame([("corn", 3, 1, 2, 0.5, 0.25, 1.0)], "klass string, n_train int, n_pos int, n_neg int, p double, r double, f1 double")
     write_evaluation(frame, str(tmp_path / "eval"))
     assert spark.read.text(str(tmp_path / "eval")).first()["value"] == "corn 3 1 2 0.5 0.25 1.0"
+
+
+def test_the_first_document_is_that_of_the_first_file(spark, tmp_path):
+    """Spark packs the larger file first; the order of the files must not follow that."""
+    (tmp_path / "a.tsv").write_text("x\tfrom a\tone\n")
+    rows = ["x\tfrom b\ttwo", "bad line", *(f"y{i}\tt\tlong text {i}" for i in range(50))]
+    (tmp_path / "b.tsv").write_text("\n".join(rows) + "\n")
+    docs = read_corpus(spark, str(tmp_path))
+    found = {r["id"]: r["doc_id"] for r in docs.orderBy(F.desc("doc_id")).collect()}
+    assert found["x"] == 0 and found["y0"] == 3
+    wanted = spark.createDataFrame([("x",)], "id string")
+    assert lb.resolve_ids(docs, wanted).first()["doc_id"] == 0
+    assert docs.filter("id = 'x' AND doc_id = 0").first()["title"] == "from a"
+
+
+def test_nothing_of_a_long_text_is_lost(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(10_001)) + " " + "z" * 300
+    tags = " ".join(f"t{i}" for i in range(10_001))
+    docs = corpus_from_rows(spark, [("a", "title", words, tags)])
+    index = ix.build_index(docs, str(tmp_path / "whole"))
+    assert index.text.count() == 10_002 and index.tags.count() == 10_001
+    assert index.text.filter(F.length("term") == 300).count() == 1
+    limited = ix.build_index(docs, str(tmp_path / "limited"), max_tokens=10_000, max_word=255)
+    assert limited.text.count() == 10_000 and limited.tags.count() == 10_000
