@@ -30,6 +30,7 @@ SHINGLE_WORDS = 3
 MAX_BITS = 2
 PIVOTS = 16
 SEED = 42
+CHUNK_BYTES = 1 << 20  # texts whose shingles are hashed at once
 
 
 def fingerprints(texts: list[bytes], words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
@@ -66,7 +67,7 @@ def fingerprint_rows(
     def run(batches):
         for batch in batches:
             texts = text_bytes(batch.column("text"))
-            for i, j in byte_chunks(texts):
+            for i, j in byte_chunks(texts, CHUNK_BYTES):
                 found = fingerprints(texts[i:j].to_pylist(), words).view(np.int64)
                 ids = batch.column("id").slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(found)], ["id", "fp"])
