@@ -38,7 +38,7 @@ LATIN = (
 NOT_LATIN = re.compile("[^\t-\r -~\xa0-ɏ]")
 SHORT_PIECE = 48  # longer pieces are merged one by one
 NO_MERGE = 1 << 30
-CACHED_PIECES = 600_000
+CACHED_PIECES = 300_000
 CACHED_PAIRS = 2_000_000
 CACHED_PIECE_BYTES = 64
 
