@@ -300,10 +300,10 @@ def tags_model(drift: bool = False) -> str:
 
 RATES = ", ".join(fin(x) for x in ("p", "r", "f1"))
 
-TSV = """lines AS (
-  SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS value
-  FROM (SELECT doc_id, string_split(concat_ws(chr(9), doc_id, lang, text, source), chr(10)) AS parts
-        FROM documents)),
+TSV = f"""{CORPUS},
+lines AS (
+  SELECT doc_id, 1 AS pos, concat_ws(chr(9), id, title, lemmas, tags) AS value FROM corpus
+  UNION ALL SELECT doc_id, 2, concat_ws(chr(9), id, tags) FROM corpus),
 numbered AS (
   SELECT row_number() OVER (ORDER BY doc_id, pos) AS line_no, value, string_split(value, chr(9)) AS cols
   FROM lines)"""
@@ -331,9 +331,20 @@ SELECT line_no, cols[1] AS id, cols[2] AS title, cols[3] AS lemmas,
 FROM numbered WHERE len(cols) >= 3""",
     "tsv_rejects": f"WITH {TSV} SELECT line_no, value AS raw_line FROM numbered WHERE len(cols) < 3",
     "index_from_file_df": f"""WITH {TSV},
-valid AS (SELECT line_no AS doc_id, cols[3] AS lemmas FROM numbered WHERE len(cols) >= 3),
-{postings(source="valid")}
-SELECT term, count(*) AS df FROM postings GROUP BY term""",
+valid AS (
+  SELECT line_no AS doc_id, cols[2] AS title, cols[3] AS lemmas, cols[4] AS tags
+  FROM numbered WHERE len(cols) >= 3),
+{postings(source="valid")},
+{postings("title", "valid", "title_terms")},
+{DOC_TAGS.format(source="valid")}
+SELECT 'text' AS kind, term, count(*) AS df FROM postings GROUP BY term
+UNION ALL SELECT 'title', term, count(*) FROM title_terms GROUP BY term
+UNION ALL SELECT 'tag', tag, count(*) FROM doc_tags GROUP BY tag
+UNION ALL SELECT 'rejects', '', count(*) FROM numbered WHERE len(cols) < 3""",
+    "first_document_of_several_files": """WITH placed AS (
+  SELECT source AS id, doc_id AS first_doc, row_number() OVER (ORDER BY lang, doc_id) - 1 AS doc_id
+  FROM documents)
+SELECT id, min(doc_id) AS doc_id, arg_min(first_doc, doc_id) AS first_doc FROM placed GROUP BY id""",
     "seed_labels": """SELECT DISTINCT CASE WHEN toxic = 1 THEN 0 ELSE 1 END AS klass, doc_id
 FROM labels JOIN documents USING (doc_id) WHERE quality <> 0""",
     "unknown_seeds": """SELECT DISTINCT 0 AS klass, 'item' || CAST(item_id AS VARCHAR) AS id FROM benchmark

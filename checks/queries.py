@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from checks.tables import (
     corpus,
     corpus_file,
+    corpus_files,
     in_order,
     rounded,
     seed_lines,
@@ -48,6 +50,7 @@ from seedsift.sources.corpus import (
     count_without_text,
     number_lines,
     parse_lines,
+    read_corpus,
     read_lines,
     rejected_lines,
 )
@@ -144,9 +147,17 @@ def tsv_rejects(spark, sf_dir):
 
 @query
 def index_from_file_df(spark, sf_dir):
-    """The whole indexing job on a corpus file, seen through its document frequencies."""
-    index, _ = index_corpus(spark, corpus_file(spark, sf_dir), scratch_path(spark, "index"))
-    return ix.document_frequency(index.text)
+    """The whole indexing job on a corpus file: documents per term of the text, per term of the
+    title and per tag, and the number of rejected lines."""
+    index, rejects = index_corpus(spark, corpus_file(spark, sf_dir), scratch_path(spark, "index"))
+    tags = index.tags.select(F.col("tag").alias("term"), "doc_id")
+    figures = [
+        ix.document_frequency(postings).select(F.lit(kind).alias("kind"), "term", "df")
+        for kind, postings in (("text", index.text), ("title", index.title), ("tag", tags))
+    ]
+    n_rejects = rejects.agg(F.count(F.lit(1)).alias("df"))
+    figures.append(n_rejects.select(F.lit("rejects").alias("kind"), F.lit("").alias("term"), "df"))
+    return reduce(DataFrame.unionByName, figures)
 
 
 # Labels ----------------------------------------------------------------------------------------
@@ -177,6 +188,16 @@ def first_document_of_repeated_id(spark, sf_dir):
     return lb.resolve_ids(docs, docs.select("id").dropDuplicates())
 
 
+@query
+def first_document_of_several_files(spark, sf_dir):
+    """The first document of a repeated id is the one in the first file, whatever the sizes."""
+    docs = read_corpus(spark, corpus_files(spark, sf_dir))
+    first = lb.resolve_ids(docs, docs.select("id").dropDuplicates())
+    return docs.join(first, ["id", "doc_id"]).select(
+        "id", "doc_id", F.col("title").cast("bigint").alias("first_doc")
+    )
+
+
 @query
 def training_test_split(spark, sf_dir):
     docs = split_corpus(spark, sf_dir)

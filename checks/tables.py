@@ -59,22 +59,13 @@ def seed_lines(spark: SparkSession, sf_dir: str, column: str = "toxic") -> DataF
 
 
 def corpus_file(spark: SparkSession, sf_dir: str) -> str:
-    """A tab separated file of the documents with their line breaks left in.
-
-    The first line of a text becomes a line of three or four columns, the other ones are malformed.
-    """
-    lines = table(spark, sf_dir, "documents").select(
+    """A tab separated corpus of the whole documents; after each line a malformed one, which has
+    two columns only."""
+    lines = corpus(spark, sf_dir).select(
         "doc_id",
         F.posexplode(
-            F.split(
-                F.concat_ws(
-                    "\t",
-                    F.col("doc_id").cast("string"),
-                    F.col("lang"),
-                    F.col("text"),
-                    F.col("source"),
-                ),
-                "\n",
+            F.array(
+                F.concat_ws("\t", "id", "title", "lemmas", "tags"), F.concat_ws("\t", "id", "tags")
             )
         ).alias("pos", "value"),
     )
@@ -83,6 +74,20 @@ def corpus_file(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def corpus_files(spark: SparkSession, sf_dir: str) -> str:
+    """One corpus file per language, of unequal sizes, in which the source is the id."""
+    documents = table(spark, sf_dir, "documents")
+    lines = documents.select(
+        "doc_id",
+        "lang",
+        F.concat_ws("\t", "source", F.col("doc_id").cast("string"), F.lit("")).alias("value"),
+    )
+    path = scratch_path(spark, "corpus-files")
+    parted = lines.repartition("lang").sortWithinPartitions("lang", "doc_id")
+    parted.select("value", "lang").write.partitionBy("lang").text(path)
+    return path
+
+
 def six(value: Column) -> Column:
     """Six decimals, halves upwards, in arithmetic that every engine does alike."""
     return F.floor(value * 1e6 + 0.5) / 1e6
