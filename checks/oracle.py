@@ -373,6 +373,8 @@ UNION SELECT quality, doc_id FROM labels""",
     + "SELECT klass, term, p, n0 AS n, class_docs, all_docs FROM counted",
     "model_local": T_MODEL + f"SELECT {MODEL_ROW} FROM model",
     "model_sequential": with_(CORPUS, TOXIC, *model(total=DRIFT)) + f"SELECT {MODEL_ROW} FROM model",
+    "model_given_order": with_(CORPUS, TOXIC, *model(total=DRIFT.replace("klass, term", "klass, length(term), term")))
+    + f"SELECT {MODEL_ROW} FROM model",
     "feature_ig_rank": T_RANKED + f"SELECT klass, rank, term, {fin('score')} FROM ranked",
     "feature_ig_rank_limit0": with_(CORPUS, TOXIC, *model(IG["limit0"]), BY_SCORE_NAN_LAST)
     + f"SELECT klass, rank, term, {fin('score')} FROM ranked",

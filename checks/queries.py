@@ -31,6 +31,7 @@ from seedsift.operators.learn import (
     learn,
     log_priors,
     rank_features,
+    score_counts,
     top_features,
     unseen_terms,
 )
@@ -62,7 +63,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SEQUENTIAL = LearnOptions(total_mode="sequential", term_order="term")
-JAVA_ORDER = LearnOptions(total_mode="sequential", term_order="java_hash")
+GIVEN_ORDER = LearnOptions(total_mode="sequential", term_order="given")
 LIMIT0 = LearnOptions(nan_policy="limit0")
 
 
@@ -265,8 +266,12 @@ def model_sequential(spark, sf_dir):
 
 
 @query
-def model_java_order(spark, sf_dir):
-    model = toxic_model(spark, sf_dir, JAVA_ORDER)
+def model_given_order(spark, sf_dir):
+    """The total grows along an order of the caller's: short terms first."""
+    docs, labels = corpus(spark, sf_dir), toxic_labels(spark, sf_dir)
+    counts = count_terms(docs, labels)
+    places = counts.select("klass", "term", F.length("term").alias("place"))
+    model = score_counts(counts, GIVEN_ORDER, places=places)
     return shown(model.select(*MODEL_COLUMNS), "log_likelihood")
 
 

@@ -47,11 +47,3 @@ def snippet(text: Column, keep: int = SNIPPET_KEEP) -> Column:
         F.length(text) > keep + 1, F.concat(F.substring(text, 1, keep), F.lit("..."))
     ).otherwise(text)
 
-
-def java_string_hash(term: Column) -> Column:
-    """The 31-polynomial string hash as an unsigned 32-bit value in a bigint (BMP text)."""
-    return F.aggregate(
-        F.split(term, ""),
-        F.lit(0).cast("bigint"),
-        lambda acc, ch: (acc * 31 + F.ascii(ch)).bitwiseAND(F.lit(0xFFFFFFFF)),
-    )

@@ -29,7 +29,6 @@ def count_terms(
     docs: DataFrame,
     labels: DataFrame,
     text_col: str = "lemmas",
-    java_order: bool = False,
 ) -> DataFrame:
     """Positive and negative counts of a set of classes, each class against all the others.
 
@@ -38,15 +37,13 @@ def count_terms(
     """
     labels = labels.select("klass", "doc_id").dropDuplicates()
     by_class = docs.select("doc_id", text_col).join(labels, "doc_id")
-    counted = _count_by_class(by_class, text_col, java_order)
+    counted = _count_by_class(by_class, text_col)
     every = F.sum("p").over(Window.partitionBy("term"))  # at most one row a class
     counted = counted.withColumn("n", every - F.col("p"))
     return keyed_join(counted, with_total(class_sizes(labels)), ["klass"])
 
 
-def count_terms_one_vs_rest(
-    training: DataFrame, text_col: str = "lemmas", java_order: bool = False
-) -> DataFrame:
+def count_terms_one_vs_rest(training: DataFrame, text_col: str = "lemmas") -> DataFrame:
     """Counts for every class at once, each against all other training documents.
 
     ``training`` holds (doc_id, text, klasses) with the array of the classes of a document. A
@@ -57,7 +54,7 @@ def count_terms_one_vs_rest(
     by_class = training.select(
         "doc_id", text_col, F.explode(F.concat("klasses", anything)).alias("klass")
     )
-    counted = _count_by_class(by_class, text_col, java_order)
+    counted = _count_by_class(by_class, text_col)
     every = F.max(F.when(F.col("klass").isNull(), F.col("p"))).over(Window.partitionBy("term"))
     counted = counted.withColumn("n", every - F.col("p")).filter(F.col("klass").isNotNull())
     sizes = class_sizes(by_class)
@@ -88,25 +85,11 @@ def count_terms_by_problem(
     return keyed_join(counted, sizes, ["klass"])
 
 
-def _count_by_class(by_class: DataFrame, text_col: str, java_order: bool) -> DataFrame:
+def _count_by_class(by_class: DataFrame, text_col: str) -> DataFrame:
     """(klass, term, p) from rows (klass, doc_id, text)."""
-    tokens = space_tokens(F.col(text_col))
-    if not java_order:
-        return (
-            by_class.select("klass", F.explode(tokens).alias("term"))
-            .filter(long_enough(F.col("term")))
-            .groupBy("klass", "term")
-            .agg(F.count(F.lit(1)).alias("p"))
-        )
-    # The order of a hash table depends on all its keys, the short ones included.
-    counted = (
-        by_class.select("klass", "doc_id", F.posexplode(tokens).alias("pos", "term"))
+    return (
+        by_class.select("klass", F.explode(space_tokens(F.col(text_col))).alias("term"))
+        .filter(long_enough(F.col("term")))
         .groupBy("klass", "term")
-        .agg(F.count(F.lit(1)).alias("p"), F.min(F.struct("doc_id", "pos")).alias("first_seen"))
-    )
-    n_keys = counted.groupBy("klass").agg(F.count(F.lit(1)).alias("n_keys"))
-    sized = counted.withColumn("_k", F.coalesce(F.col("klass").cast("string"), F.lit("")))
-    n_keys = n_keys.select(
-        F.coalesce(F.col("klass").cast("string"), F.lit("")).alias("_k"), "n_keys"
+        .agg(F.count(F.lit(1)).alias("p"))
     )
-    return keyed_join(sized.filter(long_enough(F.col("term"))), n_keys, ["_k"]).drop("_k")

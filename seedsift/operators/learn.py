@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedsift.functions.ieee import ieee_log
-from seedsift.functions.text import java_string_hash
 from seedsift.operators.counts import class_sizes, count_terms, with_total
 from seedsift.operators.feature_scores import (
     NEEDS_COLLECTION,
@@ -28,8 +27,8 @@ GROUP_LIMIT = 1000
 @dataclass(frozen=True)
 class LearnOptions:
     """``total_mode``: ``local`` smooths the document total per term; ``sequential`` lets it grow
-    from term to term, as the reference's loop does, in ``term_order`` (``term`` or
-    ``java_hash``). ``nan_policy``: ``ieee`` ranks NaN scores first, ``limit0`` takes 0 ln 0 = 0
+    from term to term, as the reference's loop does, in ``term_order``: by ``term``, or as
+    ``given`` by a table of places (klass, term, place). ``nan_policy``: ``ieee`` ranks NaN scores first, ``limit0`` takes 0 ln 0 = 0
     and ranks what is still NaN last."""
 
     total_mode: str = "local"
@@ -43,7 +42,7 @@ class LearnOptions:
     def __post_init__(self):
         for name, allowed in (
             ("total_mode", ("local", "sequential")),
-            ("term_order", ("term", "java_hash")),
+            ("term_order", ("term", "given")),
             ("likelihood", ("ratio", "odds", "odds_share")),
             ("nan_policy", ("ieee", "limit0")),
         ):
@@ -51,8 +50,8 @@ class LearnOptions:
                 raise ValueError(f"{name} must be one of {allowed}")
 
     @property
-    def java_order(self) -> bool:
-        return self.total_mode == "sequential" and self.term_order == "java_hash"
+    def needs_places(self) -> bool:
+        return self.total_mode == "sequential" and self.term_order == "given"
 
 
 @dataclass(frozen=True)
@@ -69,10 +68,11 @@ def learn(
     options: LearnOptions = LearnOptions(),
     text_col: str = "lemmas",
     collection: Collection | None = None,
+    places: DataFrame | None = None,
 ) -> DataFrame:
     """The model of every class in ``labels`` (klass, doc_id), each against the others."""
-    counts = count_terms(docs, labels, text_col, options.java_order)
-    return score_counts(counts, options, collection=collection)
+    counts = count_terms(docs, labels, text_col)
+    return score_counts(counts, options, collection=collection, places=places)
 
 
 def score_counts(
@@ -80,13 +80,14 @@ def score_counts(
     options: LearnOptions = LearnOptions(),
     separate: bool = False,
     collection: Collection | None = None,
+    places: DataFrame | None = None,
 ) -> DataFrame:
     """Smoothing, log-likelihood and feature score of counted terms.
 
     ``separate``: the classes are trained one by one (one against the rest), so that a running
     total starts afresh for each of them.
     """
-    smoothed = smooth(with_running_total(counts, options, separate))
+    smoothed = smooth(with_running_total(counts, options, separate, places))
     scored = smoothed.withColumn("log_likelihood", log_likelihood(options.likelihood))
     if options.positive_only:
         scored = scored.filter(F.col("log_likelihood") > 0)
@@ -112,15 +113,19 @@ def score_counts(
     )
 
 
-def with_running_total(counts: DataFrame, options: LearnOptions, separate: bool) -> DataFrame:
-    """Adds ``unseen`` (no negative occurrence) and ``total``."""
+def with_running_total(
+    counts: DataFrame, options: LearnOptions, separate: bool, places: DataFrame | None = None
+) -> DataFrame:
+    """Adds ``unseen`` (no negative occurrence) and ``total``. Terms without a place come last."""
     counts = counts.withColumn("unseen", (F.col("n") == 0).cast("bigint"))
     if options.total_mode == "local":
         return counts.withColumn("total", F.col("all_docs") + F.col("unseen"))
     order = [F.col("term")]
-    if options.java_order:
-        counts = counts.withColumn("_bucket", hash_bucket(F.col("term"), F.col("n_keys")))
-        order = [F.col("_bucket"), F.col("first_seen"), *order]
+    if options.needs_places:
+        if places is None:
+            raise ValueError("this order needs a table of places")
+        counts = counts.join(places.select("klass", "term", "place"), ["klass", "term"], "left")
+        order = [F.col("place").asc_nulls_last(), *order]
     if separate:
         group = ["klass"]
     else:
@@ -129,16 +134,6 @@ def with_running_total(counts: DataFrame, options: LearnOptions, separate: bool)
     return drifted.withColumn("total", F.col("all_docs") + F.col("_drift"))
 
 
-def hash_bucket(term: Column, n_keys: Column) -> Column:
-    """The slot of a key in a Java hash table that has grown to hold ``n_keys`` keys."""
-    # Smallest power of two, at least 16, that is filled to three quarters at most.
-    capacity = F.greatest(
-        F.lit(16), F.pow(F.lit(2), F.ceil(F.log2(n_keys / F.lit(0.75)))).cast("bigint")
-    )
-    h = java_string_hash(term)
-    return h.bitwiseXOR(F.shiftrightunsigned(h, 16)).bitwiseAND(capacity - 1)
-
-
 def smooth(counts: DataFrame) -> DataFrame:
     """Add-one smoothing of terms without a negative occurrence, counts as doubles."""
     return counts.selectExpr(

@@ -74,7 +74,7 @@ def class_overview(roles: DataFrame) -> DataFrame:
 
 def one_vs_rest_model(roles: DataFrame, options: LearnOptions = LearnOptions()) -> DataFrame:
     training = roles.filter("is_training").select("doc_id", "lemmas", "klasses")
-    counts = count_terms_one_vs_rest(training, java_order=options.java_order)
+    counts = count_terms_one_vs_rest(training)
     return score_counts(counts, options, separate=True)
 
 

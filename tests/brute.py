@@ -51,6 +51,15 @@ def table_order(keys):
     return sorted(keys, key=lambda k: slot[k])  # stable: insertion order inside a slot
 
 
+def table_places(texts, labels):
+    """(klass, term, place): the order in which such a table hands out the terms of each class."""
+    found = []
+    for klass, docs in labels.items():
+        keys = dict.fromkeys(t for d in sorted(docs) for t in texts[d].split(" "))
+        found += [(klass, t, i) for i, t in enumerate(table_order(keys))]
+    return found
+
+
 def learn(texts, labels, mode="local", order=sorted):
     """{klass: {term: (total, log_likelihood, gain)}} from {doc: text} and {klass: [doc, ...]}."""
     pos = {k: Counter() for k in labels}

@@ -88,7 +88,3 @@ def test_snippet(spark, length):
     got = one(spark, text.snippet(F.col("v")), v="x" * length)
     assert got == ("x" * 75 + "..." if length == 77 else "x" * length)
 
-
-def test_java_string_hash(spark):
-    assert one(spark, text.java_string_hash(F.col("v")), v="aaa") == 96321
-    assert one(spark, text.java_string_hash(F.col("v")), v="hello world") == 1794106052

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+import brute
 from seedsift.operators.counts import count_terms
 from seedsift.operators.learn import LearnOptions, learn, log_priors, rank_features, unseen_terms
 from seedsift.operators.scoring import StepSearch, document_scores, posting_scores
@@ -14,7 +15,7 @@ from seedsift.sources.index import postings
 
 TEXTS = ["aaa bbb", "aaa ccc", "ccc ddd", "aaa eee", "ccc eee", "ddd eee", "fff ggg", "ddd aaa"]
 CLASSES = [1, 1, 0, 1, 0, 0, 0, 1]
-JAVA = LearnOptions(total_mode="sequential", term_order="java_hash")
+GIVEN = LearnOptions(total_mode="sequential", term_order="given")
 
 
 @pytest.fixture(scope="module")
@@ -27,12 +28,20 @@ def labels(spark):
     return spark.createDataFrame([(CLASSES[i], i) for i in range(4)], "klass int, doc_id bigint")
 
 
+@pytest.fixture(scope="module")
+def places(spark):
+    """The order in which the known values came about."""
+    labels = {k: [i for i in range(4) if CLASSES[i] == k] for k in (0, 1)}
+    found = brute.table_places(dict(enumerate(TEXTS)), labels)
+    return spark.createDataFrame(found, "klass int, term string, place bigint")
+
+
 def rows(model):
     return {(r["klass"], r["term"]): r for r in model.collect()}
 
 
-def test_java_order_matches_every_golden_value(corpus, labels):
-    got = rows(learn(corpus, labels, JAVA))
+def test_given_order_matches_every_golden_value(corpus, labels, places):
+    got = rows(learn(corpus, labels, GIVEN, places=places))
     expected = {
         (0, "ccc"): (1, 1, 1, 4, 1.098612, math.nan),
         (0, "ddd"): (1, 1, 2, 5, 0.405465, 0.013844),
@@ -51,8 +60,8 @@ def test_java_order_matches_every_golden_value(corpus, labels):
     assert got[(1, "eee")]["log_likelihood"] == 0.0
 
 
-def test_members_are_exactly_the_documents_above_zero(corpus, labels):
-    ranked = settle(rank_features(learn(corpus, labels, JAVA)))
+def test_members_are_exactly_the_documents_above_zero(corpus, labels, places):
+    ranked = settle(rank_features(learn(corpus, labels, GIVEN, places=places)))
     search = StepSearch(postings(corpus), ranked, 1)
     iteration = None
     while search.has_next(iteration):
@@ -72,8 +81,8 @@ def test_members_are_exactly_the_documents_above_zero(corpus, labels):
     assert {r["doc_id"]: r["score"] for r in in_one_go.collect()} == scores
 
 
-def test_documents_without_a_feature_score_zero_token_by_token(corpus, labels):
-    scores = document_scores(corpus, learn(corpus, labels, JAVA), 1)
+def test_documents_without_a_feature_score_zero_token_by_token(corpus, labels, places):
+    scores = document_scores(corpus, learn(corpus, labels, GIVEN, places=places), 1)
     assert {r["doc_id"]: r["score"] for r in scores.collect()}[6] == 0.0
 
 

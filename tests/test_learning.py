@@ -37,6 +37,7 @@ def random_texts(n, seed):
 
 
 TEXTS = random_texts(40, 3)
+PLACES = "klass int, term string, place bigint"
 LABELS = {0: [1, 4, 7, 10, 13], 1: [2, 3, 5, 8, 11, 12], 2: [0, 1, 9]}  # document 1 has two classes
 
 
@@ -56,13 +57,14 @@ def labels(spark):
     [
         (LearnOptions(), "local", sorted),
         (LearnOptions("sequential", "term"), "sequential", sorted),
-        (LearnOptions("sequential", "java_hash"), "sequential", brute.table_order),
+        (LearnOptions("sequential", "given"), "sequential", brute.table_order),
     ],
 )
-def test_model_equals_brute_force(docs, labels, options, mode, order):
+def test_model_equals_brute_force(spark, docs, labels, options, mode, order):
     want = brute.learn(TEXTS, LABELS, mode, order)
     got = {}
-    for r in learn(docs, labels, options).collect():
+    places = spark.createDataFrame(brute.table_places(TEXTS, LABELS), PLACES)
+    for r in learn(docs, labels, options, places=places).collect():
         got.setdefault(r["klass"], {})[r["term"]] = (r["total"], r["log_likelihood"], r["score"])
     assert got.keys() == want.keys()
     for klass in want:
@@ -145,11 +147,15 @@ def test_one_vs_rest_counts_equal_one_problem_per_class(docs, spark):
             assert totals == {t: v[0] for t, v in expected.items()}
 
 
-def test_one_vs_rest_in_java_order(docs):
+def test_one_vs_rest_in_a_given_order(spark, docs):
     tags = {0: ["x"], 1: ["x"], 2: ["y"], 3: ["y"], 4: ["y"]}
     training = docs.filter("doc_id <= 4").withColumn("klasses", F.udf(lambda d: tags[d], "array<string>")("doc_id"))
-    options = LearnOptions("sequential", "java_hash")
-    model = score_counts(count_terms_one_vs_rest(training, java_order=True), options, separate=True)
+    options = LearnOptions("sequential", "given")
+    places = spark.createDataFrame(brute.table_places(TEXTS, {"x": [0, 1], "y": [2, 3, 4]}), "klass string, term string, place bigint")
+    counts = count_terms_one_vs_rest(training)
+    model = score_counts(counts, options, separate=True, places=places)
+    with pytest.raises(ValueError):
+        score_counts(counts, options, separate=True)
     want = brute.learn(TEXTS, {0: [0, 1], 1: [2, 3, 4]}, "sequential", brute.table_order)[0]
     assert {r["term"]: r["total"] for r in model.filter("klass = 'x'").collect()} == {t: v[0] for t, v in want.items()}
 
