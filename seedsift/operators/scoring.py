@@ -105,35 +105,57 @@ def resume_scores(
     )
 
 
-def document_scores(
+@dataclass(frozen=True)
+class Weights:
+    """The terms of one class with their log-likelihoods, written out and measured once."""
+
+    terms: DataFrame
+    n_bytes: int
+
+
+def class_weights(model: DataFrame, klass, n: int = -1, nan_policy: str = "ieee") -> Weights:
+    """Of all features or the best ``n``; a negative ``n`` means all, one above their number too."""
+    chosen = model.filter(F.col("klass") == klass)
+    if n >= 0:
+        chosen = top_features(chosen, n, nan_policy)
+    terms = settle(chosen.select("term", "log_likelihood"), "weights")
+    return Weights(terms, measured_bytes(terms))
+
+
+def score_documents(
     docs: DataFrame,
-    model: DataFrame,
-    klass,
-    n: int = -1,
+    weights: Weights,
     text_col: str = "lemmas",
-    nan_policy: str = "ieee",
     max_bytes: int = BROADCAST_BYTES,
     hot_share: int = HOT_SHARE,
 ) -> DataFrame:
-    """(doc_id, score) of every document for one class, by all features or the best ``n``.
-
-    A negative ``n`` means all features, one above their number as well.
-    """
-    chosen = model.filter(F.col("klass") == klass)
-    if n >= 0:
-        chosen = top_features(chosen, n, nan_policy)
-    weights = settle(chosen.select("term", "log_likelihood"), "weights")
+    """(doc_id, score) of every document by weights that are there already."""
     tokens = docs.select(
         "doc_id", F.posexplode_outer(space_tokens(F.col(text_col))).alias("pos", "term")
     )
-    if measured_bytes(weights) <= max_bytes:
-        weighted = tokens.join(F.broadcast(weights), "term", "left")
+    if weights.n_bytes <= max_bytes:
+        weighted = tokens.join(F.broadcast(weights.terms), "term", "left")
     else:
-        weighted = hot_split_join(tokens, weights, ["term"], "left", hot_share)
+        weighted = hot_split_join(tokens, weights.terms, ["term"], "left", hot_share)
     # Added up in the order of the tokens; a group is as long as a document.
     return weighted.groupBy("doc_id").agg(_summed("pos", "log_likelihood").alias("score"))
 
 
+def document_scores(
+    docs: DataFrame,
+    model: DataFrame,
+    klass,
+    n: int = -1,
+    text_col: str = "lemmas",
+    nan_policy: str = "ieee",
+    max_bytes: int = BROADCAST_BYTES,
+    hot_share: int = HOT_SHARE,
+) -> DataFrame:
+    """(doc_id, score) of every document for one class, by all features or the best ``n``."""
+    weights = class_weights(model, klass, n, nan_policy)
+    return score_documents(docs, weights, text_col, max_bytes, hot_share)
+
+
 def score_indexed_documents(
     docs: DataFrame, ids: DataFrame, model: DataFrame, klass, n: int = -1, text_col: str = "lemmas"
 ) -> DataFrame:

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from seedsift.functions.ieee import is_member
-from seedsift.operators.scoring import document_scores
-from seedsift.plans.bounded import pin
+from seedsift.operators.scoring import class_weights, score_documents
 
 
 def score_stream(
@@ -28,10 +27,10 @@ def score_stream(
 
     A batch that is repeated after a failure replaces its own folder, so no score is written twice.
     """
-    weights = pin(model.select("klass", "term", "log_likelihood", "score"), "model")
+    weights = class_weights(model, klass, n)  # written out once for all batches
 
     def score(batch: DataFrame, number: int) -> None:
-        scores = document_scores(batch, weights, klass, n, text_col)
+        scores = score_documents(batch, weights, text_col)
         marked = scores.withColumn("is_member", is_member(scores["score"]))
         marked.write.mode("overwrite").parquet(f"{path}/batch={number}")
 

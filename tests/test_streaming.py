@@ -1,3 +1,5 @@
+from pathlib import Path
+
 from seedsift.operators.learn import learn
 from seedsift.operators.scoring import document_scores
 from seedsift.sources.corpus import corpus_from_rows
@@ -10,8 +12,11 @@ def test_stream_scores_equal_batch_scores(spark, tmp_path):
     model = learn(docs, labels)
     docs.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    scratch = Path(spark.conf.get("spark.checkpoint.dir")) / "seedsift"
+    before = set(scratch.glob("*"))
     query = score_stream(stream, model, 0, str(tmp_path / "out"), str(tmp_path / "ck"))
     assert query.awaitTermination(120)
+    assert len(set(scratch.glob("*")) - before) == 1  # one table of weights for three batches
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.select("batch").distinct().count() == 3
     want = {(r["doc_id"], r["score"]) for r in document_scores(docs, model, 0).collect()}
