@@ -268,13 +268,17 @@ def matched_windows(parts: list[bytes], width: int, keep_first: bool) -> list[np
     return [np.flatnonzero(covered[i : i + n]) for i, n in zip(starts, sizes)]
 
 
-SOLVED = "row bigint, lo bigint, hi bigint, key bigint, window bigint, done boolean"
+SOLVED = (
+    "row bigint, lo bigint, hi bigint, key bigint, "
+    "windows array<struct<row: bigint, lo: bigint, window: bigint, done: boolean>>"
+)
+PACKED_WINDOWS = 256
 
 
 def _lpf(stretches: DataFrame, width: int, keep_first: bool) -> DataFrame:
     """Ranges of repeated windows (``key`` NULL), and of each group that is solved in parts the
-    windows of each part, once each, at their first place there; ``done`` tells which of these need
-    no look at other parts."""
+    windows of each part, once each, at their first place there, many in a row; ``done`` tells which
+    of these need no look at other parts."""
 
     def distinct_windows(rows, i, j, covered):
         """Of the stretches i to j, one part of a group."""
@@ -323,8 +327,7 @@ def _lpf(stretches: DataFrame, width: int, keep_first: bool) -> DataFrame:
                 [
                     *[pa.array(c, pa.int64()) for c in out],
                     pa.nulls(m, pa.int64()),
-                    pa.nulls(m, pa.int64()),
-                    pa.nulls(m, pa.bool_()),
+                    pa.nulls(m, pa.list_(one)),
                 ],
                 columns,
             )
@@ -335,9 +338,21 @@ def _lpf(stretches: DataFrame, width: int, keep_first: bool) -> DataFrame:
                     last += 1
                 if rows["parts"][k] > 1:
                     row, at, window, done = distinct_windows(rows, k, last, covered)
-                    key = np.full(len(row), rows["key"][k])
+                    cuts = np.append(np.arange(0, len(row), PACKED_WINDOWS), len(row))
+                    packed = pa.ListArray.from_arrays(
+                        pa.array(cuts, pa.int32()),
+                        pa.StructArray.from_arrays(
+                            [pa.array(c) for c in (row, at, window, done)], fields=list(one)
+                        ),
+                    )
+                    n_rows = len(packed)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c) for c in (row, at, at, key, window, done)], columns
+                        [
+                            *[pa.nulls(n_rows, pa.int64()) for _ in range(3)],
+                            pa.array(np.full(n_rows, rows["key"][k]), pa.int64()),
+                            packed,
+                        ],
+                        columns,
                     )
                 k = last
             i = j
@@ -355,7 +370,10 @@ def _lpf(stretches: DataFrame, width: int, keep_first: bool) -> DataFrame:
             held = {name: held[name][end:] for name in names}
         yield from solve(held)
 
-    columns = ["row", "lo", "hi", "key", "window", "done"]
+    one = pa.struct(
+        [("row", pa.int64()), ("lo", pa.int64()), ("window", pa.int64()), ("done", pa.bool_())]
+    )
+    columns = ["row", "lo", "hi", "key", "windows"]
     names = ["row", "lo", "key", "part", "parts", "single", "bytes"]
     part = F.pmod(F.xxhash64("row", "lo"), F.col("parts"))
     grouped = (
@@ -369,7 +387,13 @@ def _lpf(stretches: DataFrame, width: int, keep_first: bool) -> DataFrame:
 
 def _across_parts(solved: DataFrame, keep_first: bool) -> DataFrame:
     """Windows of groups solved in parts that are alone in their part but not in the group."""
-    windows = solved.filter("key IS NOT NULL")
+    # Spread before they are unpacked: the windows of a large group come from a few tasks.
+    windows = (
+        solved.filter("key IS NOT NULL")
+        .repartition(F.xxhash64("key", F.col("windows")[0]))
+        .select("key", F.explode("windows").alias("w"))
+        .select("key", "w.row", "w.lo", "w.window", "w.done")
+    )
     place = F.struct("row", "lo")
     repeated = (
         windows.groupBy("key", "window")
@@ -380,7 +404,7 @@ def _across_parts(solved: DataFrame, keep_first: bool) -> DataFrame:
     found = windows.filter("NOT done").join(repeated, ["key", "window"])
     if keep_first:
         found = found.filter(place != F.col("first"))
-    return found.select("row", "lo", "hi")
+    return found.select("row", "lo", F.col("lo").alias("hi"))
 
 
 def _cut(docs: DataFrame, spans: DataFrame, width: int, with_text: bool) -> DataFrame:
