@@ -154,6 +154,35 @@ def test_mixer_learns_and_decides_without_looking_ahead():
     assert np.allclose(alone, after, rtol=1e-4)
 
 
+def test_each_text_moves_its_own_weights_for_words_and_letters():
+    texts = [prose(i % 7, 120).encode() for i in range(60)]
+    tables = small_tables(texts)
+    learned = mixer.learn_mixer(tables, texts[:30])
+    strange = " ".join(f"{a}zq{b}xj" for a, b in zip(prose(500, 400).split(), prose(501, 400).split()))
+    new = [strange.encode(), prose(3, 300).encode(), f"{prose(4, 100)} {strange[:900]}".encode()]
+    got = mixer.log_probabilities(tables, learned, mixer.Tokens(new, tables.head))
+    for text, score in zip(new, got):
+        tokens = mixer.Tokens([text], tables.head)
+        stream = mixer.Stream(tables, tokens)
+        weights = [w.astype(np.float64) for w in learned.weights]
+        bends = [c.astype(np.float64) for c in learned.correction]
+        want = 0.0
+        for i in range(0, len(tokens.ids), mixer.BLOCK_TOKENS):
+            parts = stream.of(i, min(i + mixer.BLOCK_TOKENS, len(tokens.ids)))
+            for w, c, part in zip(weights, bends, parts):
+                w_step, c_step = np.zeros_like(w), np.zeros_like(c)
+                for x, gate, sign in zip(*part):
+                    z = w[gate] @ x
+                    level = mixer._level(z * sign)
+                    lost = np.exp(-(z + c[gate, level] * sign))
+                    want -= np.log1p(lost)
+                    w_step[gate] += mixer.RATE * lost / (1 + lost) * x
+                    c_step[gate, level] += mixer.RATE * lost / (1 + lost) * sign
+                w += w_step
+                c += c_step
+        assert score == pytest.approx(want, rel=2e-5)
+
+
 def test_token_probabilities_add_up_to_one():
     tables = small_tables([b"a b a b a c c", b"a b d d"])
     head = tables.head
