@@ -1,19 +1,24 @@
 """Licence notices found by the Dice coefficient over word bigrams.
 
-A text is compared as a whole, by paragraph and by line. Each such unit is reduced to lower-case
-words; its bigrams and a template's, both with repeats, have the coefficient 2 * common / (both
-sizes). The sizes alone bound it from above: only templates whose size lies between
+A text is compared as a whole, by paragraph, by line and in every window of its words. Each such unit
+is reduced to lower-case words; its bigrams and a template's, both with repeats, have the coefficient
+2 * common / (both sizes). The sizes alone bound it from above: only templates whose size lies between
 ``t / (2 - t)`` and ``(2 - t) / t`` times the unit's can reach the threshold ``t``, so most units
 are dismissed by their number of words and never make bigrams.
+
+A window that begins or ends with a bigram the template lacks gains by losing it, so the best windows
+begin and end at bigrams of the template. Only these places are looked at, and only where as many of
+them as the threshold asks for lie within the longest window.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,6 +108,10 @@ class Templates:
         self.rows = [(name, b) for _, name, b in found]
         self.threshold = threshold
         self.low = threshold / (2 - threshold)
+        self.holders = defaultdict(list)
+        for k, (_, own) in enumerate(self.rows):
+            for gram in own:
+                self.holders[gram].append(k)
 
     def best(self, words: list[str]) -> tuple[str, float] | None:
         """The closest template that reaches the threshold, ties to the smaller name."""
@@ -119,24 +128,81 @@ class Templates:
         return (name, score) if score >= self.threshold else None
 
 
+    def windows(self, words: list[str]) -> list[tuple[str, float, int, int]]:
+        """(name, coefficient, first word, word after the last) of windows that reach the threshold,
+        by falling coefficient, then name, then place; none overlaps one before it."""
+        hits = defaultdict(list)
+        get = self.holders.get
+        for k, gram in enumerate(zip(words, words[1:])):
+            for t in get(gram, ()):
+                hits[t].append(k)
+        found = []
+        for t, places in hits.items():
+            found += self._windows_of(t, places, words)
+        for k, word in enumerate(words):
+            found += [(self.rows[t][0], 1.0, k, k + 1) for t in get((word,), ())]
+        taken, kept = [], []
+        for name, score, i, j in sorted(found, key=lambda f: (-f[1], f[0], f[2], f[3])):
+            at = bisect_right(taken, (i, j))
+            if (at == 0 or taken[at - 1][1] <= i) and (at == len(taken) or taken[at][0] >= j):
+                taken.insert(at, (i, j))
+                kept.append((name, score, i, j))
+        return kept
+
+    def _windows_of(self, t: int, places: list[int], words: list[str]):
+        """The best window of template ``t`` from each of ``places``, its bigrams' in the text."""
+        size, (name, own) = self.sizes[t], self.rows[t]
+        least, longest = int(np.ceil(size * self.low - 1e-9)), int(size / self.low + 1e-9)
+        if len(places) < least:
+            return
+        at = np.array(places)
+        close = np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] < longest)
+        if not len(close):
+            return
+        # A bigram counts in a window unless the window holds it as often before as the template.
+        seen, full = defaultdict(list), np.full(len(at), -1)
+        for k, p in enumerate(places):
+            gram = (words[p], words[p + 1])
+            before = seen[gram]
+            if len(before) >= own[gram]:
+                full[k] = before[-own[gram]]
+            before.append(p)
+        stops = np.searchsorted(at, at[close] + longest)
+        for i, j in zip(close.tolist(), stops.tolist()):
+            first = places[i]
+            score = 2 * np.cumsum(full[i:j] < first) / (at[i:j] - first + 1 + size)
+            k = int(score.argmax())
+            if score[k] >= self.threshold:
+                yield name, float(score[k]), first, places[i + k] + 2
+
+
 def _reverse(name: str) -> tuple[int, ...]:
     return tuple(-ord(c) for c in name) + (1,)
 
 
 def scan(text: str, templates: Templates) -> list[tuple[str, float, str, int]]:
-    """(template, coefficient, kind of unit, number of the unit) of every unit that matches."""
-    found = []
+    """(template, coefficient, kind of unit, number of the unit) of every unit that matches, then of
+    the windows that match best apart from each other, numbered by their first word, unless they
+    are just the words of such a unit."""
+    found, known = [], set()
     lines = text.split("\n")
-    units = [("line", lines)]
+    line_words = [normalised(line) for line in lines]
+    all_words = [w for words in line_words for w in words]
+    units = [("line", line_words)]
     if len(lines) > 1:
         parts = _PARAGRAPH.split(text)
-        units += [("paragraph", parts)] if 1 < len(parts) < len(lines) else []
-        units += [("text", [text])]
+        units += [("paragraph", map(normalised, parts))] if 1 < len(parts) < len(lines) else []
+        units += [("text", [all_words])]
     for kind, parts in units:
-        for k, part in enumerate(parts):
-            words = normalised(part)
+        done = 0
+        for k, words in enumerate(parts):
             if words and (best := templates.best(words)):
                 found.append((*best, kind, k))
+                known.add((best[0], done, done + len(words)))
+            done += len(words)
+    for name, score, i, j in templates.windows(all_words):
+        if (name, i, j) not in known:
+            found.append((name, score, "window", i))
     return found
 
 
@@ -150,7 +216,7 @@ def licence_scan(
     """(id, licence, dice, unit, unit_number, n_matches) for every row of ``docs``.
 
     The best match of each text: highest coefficient, then the smaller name, then lines before
-    paragraphs before the whole text, then the earlier unit; NULL where nothing reaches the
+    paragraphs before the whole text before windows, then the earlier unit; NULL where nothing reaches the
     threshold, as for NULL and empty texts, with 0 matches. Repeated rows give equal rows; other
     columns are not looked at. An empty table gives an empty result. One pass, no shuffle.
     """
@@ -161,7 +227,7 @@ def licence_scan(
 
     def run(batches):
         table = Templates(known, threshold)
-        order = {"line": 0, "paragraph": 1, "text": 2}
+        order = {"line": 0, "paragraph": 1, "text": 2, "window": 3}
         for batch in batches:
             texts = text_bytes(batch.column("text"))
             for i, j in byte_chunks(texts):

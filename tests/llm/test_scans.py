@@ -141,6 +141,59 @@ def test_licence_scan(spark):
     assert licences.licence_scan(documents(spark)).count() == len(rows())
 
 
+def brute_window(words, templates, threshold):
+    """The best coefficient of any template and any run of words."""
+    grams = [licences.bigrams(licences.normalised(t)) for t in templates.values()]
+    best = max(
+        (
+            licences.dice(licences.bigrams(words[i:j]), g)
+            for i in range(len(words))
+            for j in range(i + 1, len(words) + 1)
+            for g in grams
+        ),
+        default=0,
+    )
+    return best if best >= threshold else None
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_windows_lose_no_run_of_words(threshold):
+    templates = {"a": "a b c a b d a b", "b": "b c d e f", "c": "a b", "d": "c", "e": "e f e f e f e"}
+    rng = random.Random(9)
+    for chosen in (templates, {k: v for k, v in templates.items() if k in "be"}):
+        table = licences.Templates(chosen, threshold)
+        for _ in range(60):
+            words = rng.choices("abcdefgh", k=rng.randint(0, 25))
+            found = table.windows(words)
+            assert (found[0][1] if found else None) == brute_window(words, chosen, threshold)
+            spans = sorted((i, j) for _, _, i, j in found)
+            assert all(j <= i for (_, j), (i, _) in zip(spans, spans[1:]))
+            for name, score, i, j in found:
+                own = licences.bigrams(licences.normalised(chosen[name]))
+                assert score == licences.dice(licences.bigrams(words[i:j]), own)
+
+
+def test_licences_inside_longer_lines_and_paragraphs(spark):
+    apache = licences.TEMPLATES["Apache-2.0 notice"]
+    comment = "\n".join(f"# {apache[i : i + 60]}" for i in range(0, len(apache), 60))
+    code = "\n".join(f"import module_{i}" for i in range(400))
+    short = "Licensed under the Apache License, Version 2.0."
+    some = [
+        (1, f"Copyright 2020 The Foo Authors. {short}", "en", "a"),
+        (2, "Copyright 2020 Foo. Released under the MIT License.", "en", "a"),
+        (3, f"{prose(1, 5)} {short}", "en", "a"),
+        (4, f"{prose(2, 900)} {licences.TEMPLATES['MIT notice']} {prose(3, 900)}", "en", "a"),
+        (5, f"{code}\n{comment}\n{code}", "en", "a"),
+        (6, f"{prose(5, 40)} Licensed under\nthe Apache License,\nVersion 2.0. {prose(6, 40)}", "en", "a"),
+        (7, prose(7, 500), "en", "a"),
+    ]
+    got = {r.doc_id: r for r in licences.licence_scan(documents(spark, some)).collect()}
+    assert [got[i].licence[:3] for i in range(1, 7)] == ["Apa", "MIT", "Apa", "MIT", "Apa", "Apa"]
+    assert all(got[i].dice >= 0.8 and got[i].unit == "window" for i in range(1, 7))
+    before = len(licences.normalised(prose(2, 900)))
+    assert (got[4].unit_number, got[7].licence) == (before, None)
+
+
 def brute_neighbours(data, k):
     ids = np.array([i for i, _ in data])
     x = np.array([v for _, v in data], np.float64)
