@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedsift.llm.common import byte_chunks, map_batches, text_bytes
+from seedsift.llm.licence_texts import FULL_TEXTS
 
 THRESHOLD = 0.8
 
-# Customary notices and short licence texts.
+# Customary notices and short licence texts, whatever the data.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 notice": (
@@ -76,6 +77,136 @@ TEMPLATES = {
     ),
 }
 
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted "
+    "provided that the following conditions are met: 1. Redistributions of source code must retain "
+    "the above copyright notice, this list of conditions and the following disclaimer. 2. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of "
+    "conditions and the following disclaimer in the documentation and/or other materials provided "
+    "with the distribution. "
+)
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR "
+    "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+    "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, "
+    "DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER "
+    "IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT "
+    "OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU = (
+    "is free software: you can redistribute it and/or modify it under the terms of the {name} as "
+    "published by the Free Software Foundation, either version {version} of the License, or (at your "
+    "option) any later version. This program is distributed in the hope that it will be useful, but "
+    "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+    "PARTICULAR PURPOSE. See the {name} for more details."
+)
+_GNU_NAMES = {
+    "GPL": ("GNU General Public License", ("2", "3")),
+    "LGPL": ("GNU Lesser General Public License", ("2.1", "3")),
+    "AGPL": ("GNU Affero General Public License", ("3",)),
+}
+_CC_NAMES = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+_CC_VERSIONS = {"2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+_NAMED = {
+    "Apache-2.0": ("the Apache License 2.0", "Apache 2.0", "the Apache 2.0 License"),
+    "Apache-unversioned": ("the Apache License",),
+    "Artistic-2.0": ("the Artistic License 2.0",),
+    "BSD-2-Clause": ("the BSD 2-Clause License", "the 2-Clause BSD License", "the Simplified BSD License"),
+    "BSD-3-Clause": ("the BSD 3-Clause License", "the 3-Clause BSD License", "the New BSD License"),
+    "BSD-unversioned": ("the BSD License",),
+    "BSL-1.0": ("the Boost Software License, Version 1.0",),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal", "the Creative Commons Zero v1.0 Universal License"),
+    "EPL-2.0": ("the Eclipse Public License 2.0", "the terms of the Eclipse Public License v. 2.0"),
+    "ISC": ("the ISC License",),
+    "MIT": ("the MIT License", "the MIT license (MIT)", "the terms of the MIT license"),
+    "MPL-2.0": ("the Mozilla Public License 2.0", "the Mozilla Public License, Version 2.0"),
+    "Unlicense": ("the Unlicense", "The Unlicense License"),
+    "zlib": ("the zlib License",),
+}
+
+
+def _wordings() -> dict[str, str]:
+    """Customary ways to name a licence, the same for all licences."""
+    found = {}
+    for licence, names in _NAMED.items():
+        for k, name in enumerate(names):
+            found[f"{licence} wording {2 * k + 1}"] = f"Licensed under {name}."
+            found[f"{licence} wording {2 * k + 2}"] = f"Released under {name}."
+        if not licence.endswith("unversioned"):
+            found[f"{licence} tag"] = f"SPDX-License-Identifier: {licence}"
+    for short, (name, versions) in _GNU_NAMES.items():
+        found[f"{short}-unversioned"] = f"Licensed under the {name}."
+        for version in versions:
+            licence = f"{short}-{version if '.' in version else version + '.0'}"
+            found[f"{licence} program"] = "This program " + _GNU.format(name=name, version=version)
+            found[f"{licence} library"] = "This library " + _GNU.format(name=name, version=version)
+            found[f"{licence} wording 1"] = f"Licensed under the {name}, version {version}."
+            found[f"{licence} wording 2"] = f"Licensed under the {name} v{licence.split('-')[1]}."
+            found[f"{licence} wording 3"] = f"Licensed under the {short}v{version}."
+            for end in ("", "-only", "-or-later"):
+                found[f"{licence} tag{end}"] = f"SPDX-License-Identifier: {licence}{end}"
+    for kind, name in _CC_NAMES.items():
+        for version, where in _CC_VERSIONS.items():
+            licence = f"CC-{kind}-{version}"
+            found[f"{licence} wording 1"] = f"Licensed under CC {kind} {version}."
+            found[f"{licence} wording 2"] = f"Licensed under CC-{kind} {version}."
+            found[f"{licence} wording 3"] = (
+                f"This work is licensed under a Creative Commons {name} {version} {where} License."
+            )
+            found[f"{licence} wording 4"] = f"Licensed under Creative Commons {name} {version}."
+            found[f"{licence} tag"] = f"SPDX-License-Identifier: {licence}"
+    return found
+
+
+TEMPLATES |= {
+    "BSD-2-Clause text": _BSD + _BSD_END,
+    "BSD-3-Clause notice": _BSD + (
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written "
+        "permission."
+    ),
+    "BSL-1.0 notice": (
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file "
+        "LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"
+    ),
+    "CC0-1.0 notice": (
+        "To the extent possible under law, the author has waived all copyright and related or "
+        "neighboring rights to this work."
+    ),
+    "EPL-2.0 notice": (
+        "This program and the accompanying materials are made available under the terms of the "
+        "Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "Unlicense notice": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to "
+        "copy, modify, publish, use, compile, sell, or distribute this software, either in source "
+        "code form or as a compiled binary, for any purpose, commercial or non-commercial, and by "
+        "any means."
+    ),
+    "zlib notice": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event "
+        "will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following "
+        "restrictions:"
+    ),
+} | _wordings()
+
+
+def default_templates() -> dict[str, str]:
+    """Notices and full texts."""
+    return TEMPLATES | FULL_TEXTS
+
+
 _WORD = re.compile(r"[a-z0-9]+(?:[.'-][a-z0-9]+)*")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
 
@@ -121,13 +252,26 @@ class Templates:
         j = bisect_right(self.sizes, size / self.low + 1e-9)
         if i == j or not words:
             return None
-        own = bigrams(words)
+        # What both hold is at least ``low`` times the unit's size.
+        pairs = zip(words, words[1:]) if len(words) > 1 else [(words[0],)]
+        own = [g for g in pairs if g in self.holders]
+        if len(own) < size * self.low - 1e-9:
+            return None
+        common = Counter()
+        for gram, n in Counter(own).items():
+            for t in self.holders[gram]:
+                common[t] += min(n, self.rows[t][1][gram])
         score, name = max(
-            ((dice(own, b), name) for name, b in self.rows[i:j]), key=lambda x: (x[0], _reverse(x[1]))
+            (
+                (2 * n / (size + self.sizes[t]), self.rows[t][0])
+                for t, n in common.items()
+                if i <= t < j
+            ),
+            key=lambda x: (x[0], _reverse(x[1])),
+            default=(0.0, ""),
         )
         return (name, score) if score >= self.threshold else None
 
-
     def windows(self, words: list[str]) -> list[tuple[str, float, int, int]]:
         """(name, coefficient, first word, word after the last) of windows that reach the threshold,
         by falling coefficient, then name, then place; none overlaps one before it."""
@@ -222,7 +366,7 @@ def licence_scan(
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    known = dict(TEMPLATES if templates is None else templates)
+    known = dict(default_templates() if templates is None else templates)
     given = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):

@@ -194,6 +194,29 @@ def test_licences_inside_longer_lines_and_paragraphs(spark):
     assert (got[4].unit_number, got[7].licence) == (before, None)
 
 
+@pytest.mark.parametrize(
+    "text, licence",
+    [
+        ("Licensed under the MIT License.", "MIT"),
+        ("This project is licensed under the MIT License.", "MIT"),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+        ("Licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("You may use it under the BSD 3-Clause License.", "BSD-3-Clause"),
+        ("This is released under CC0 1.0.", "CC0-1.0"),
+        (licences.TEMPLATES["AGPL-3.0 program"], "AGPL-3.0"),
+        (licences.TEMPLATES["LGPL-2.1 library"], "LGPL-2.1"),
+        (licences.TEMPLATES["Unlicense notice"], "Unlicense"),
+        ("Released under the MIT License.", "MIT"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        *[(f"{prose(8, 50)}\n{t}\n{prose(9, 50)}", n[:-5]) for n, t in licences.FULL_TEXTS.items()],
+    ],
+)
+def test_common_licences_are_known(text, licence):
+    found = licences.scan(text, licences.Templates(licences.default_templates(), 0.8))
+    best = min(found, key=lambda f: (-f[1], f[0]))
+    assert best[0].split()[0] == licence and best[1] >= 0.8
+
+
 def brute_neighbours(data, k):
     ids = np.array([i for i, _ in data])
     x = np.array([v for _, v in data], np.float64)
