@@ -10,6 +10,7 @@ from seedsift.llm.bpe import bpe_digests
 from seedsift.llm.classifier import score_quality, train_quality
 from seedsift.llm.common import read_table
 from seedsift.llm.interleave import interleaved_shards
+from seedsift.llm.lexical import ranked_search
 from seedsift.llm.licences import licence_scan
 from seedsift.llm.lm import score_texts, train_model
 from seedsift.llm.mixing import mixture
@@ -84,12 +85,22 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+
+
 QUERIES = {
     name: query
     for name, query in globals().items()
     if name.startswith("op") and name[2].isdigit()
 }
 
+TERMS = r"""regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
 ORACLE = {
     "op2_exact_dedup": """
         WITH d AS (
@@ -106,4 +117,31 @@ ORACLE = {
                sha256(plain) AS text_sha256
         FROM g
     """,
+    "op13_lexical_search": f"""
+        WITH d AS (SELECT doc_id, {TERMS} AS terms FROM documents),
+        real AS (
+            SELECT row_number() OVER () AS r, doc_id, terms, len(terms) AS n
+            FROM d WHERE len(terms) > 0),
+        total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM real),
+        tf AS (
+            SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+            FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM real) GROUP BY r, term),
+        weight AS (
+            SELECT term, CAST(floor(1000 * ln((2 * (SELECT docs FROM total) + 2)::DOUBLE
+                                              / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+            FROM tf GROUP BY term),
+        wanted AS (
+            SELECT row_number() OVER () AS i, item_id, {TERMS} AS terms FROM benchmark),
+        item AS (SELECT i, item_id, unnest(terms) AS term FROM wanted),
+        scored AS (
+            SELECT i, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+                   CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75
+                        + (25 * n * (SELECT docs FROM total)) // (SELECT length FROM total))))
+                   ) AS BIGINT) AS score
+            FROM item JOIN tf USING (term) JOIN weight USING (term) GROUP BY i, r),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank
+            FROM scored WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE rank <= 20
+    """,
 }
