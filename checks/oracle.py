@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 MEMBER = 0
 
 CORPUS = r"""corpus AS (
@@ -241,6 +243,20 @@ CANDIDATES = with_(
 """
 
 
+RANKING = """ranking AS (
+  SELECT klass, id, gold, row_number() OVER w AS position,
+         CAST(sum(CASE WHEN gold THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp
+  FROM facts WHERE NOT is_training WINDOW w AS (PARTITION BY klass ORDER BY score DESC, id))"""
+CURVE = """curve AS (
+  SELECT *, CASE WHEN tp = 0 THEN 'nan'::DOUBLE ELSE (2 * tp)::DOUBLE / (position + n_gold) END AS f1 FROM (
+    SELECT klass, n_gold, position, id, tp, tp::DOUBLE / position AS p, tp::DOUBLE / n_gold AS r
+    FROM ranking JOIN overview USING (klass)))"""
+POINTS = """points AS (
+  SELECT m.*, coalesce(k.tp, 0) AS tp, coalesce(k.p, 'nan'::DOUBLE) AS p,
+         coalesce(k.r, 0::DOUBLE / m.n_gold) AS r, coalesce(k.f1, 'nan'::DOUBLE) AS f1
+  FROM meeting m LEFT JOIN curve k ON k.klass = m.klass AND k.position = m.position)"""
+
+
 def tags_model(drift: bool = False) -> str:
     """CTEs of the one-against-the-rest experiment up to ``ranking`` over the test documents."""
     total = (
@@ -277,24 +293,86 @@ def tags_model(drift: bool = False) -> str:
   SELECT s.klass, c.id, s.score, c.is_training,
          EXISTS (SELECT 1 FROM doc_tags g WHERE g.doc_id = s.doc_id AND g.tag = s.klass) AS gold
   FROM scores s JOIN split_corpus c USING (doc_id))""",
-        """ranking AS (
-  SELECT klass, id, gold, row_number() OVER w AS position,
-         CAST(sum(CASE WHEN gold THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp
-  FROM facts WHERE NOT is_training WINDOW w AS (PARTITION BY klass ORDER BY score DESC, id))""",
-        """curve AS (
-  SELECT *, CASE WHEN tp = 0 THEN 'nan'::DOUBLE ELSE (2 * tp)::DOUBLE / (position + n_gold) END AS f1 FROM (
-    SELECT klass, n_gold, position, id, tp, tp::DOUBLE / position AS p, tp::DOUBLE / n_gold AS r
-    FROM ranking JOIN overview USING (klass)))""",
+        RANKING,
+        CURVE,
         # The definition itself: the first rank with r <> 0 and r >= p, else the last rank.
         """meeting AS (
   SELECT o.klass, o.n_train, o.n_pos, o.n_train - o.n_pos AS n_neg, o.n_gold,
          coalesce((SELECT min(position) FROM curve k WHERE k.klass = o.klass AND r <> 0 AND r >= p),
                   (SELECT max(position) FROM curve k WHERE k.klass = o.klass)) AS position
   FROM overview o)""",
-        """points AS (
-  SELECT m.*, coalesce(k.tp, 0) AS tp, coalesce(k.p, 'nan'::DOUBLE) AS p,
-         coalesce(k.r, 0::DOUBLE / m.n_gold) AS r, coalesce(k.f1, 'nan'::DOUBLE) AS f1
-  FROM meeting m LEFT JOIN curve k ON k.klass = m.klass AND k.position = m.position)""",
+        POINTS,
+    )
+
+
+MEETING = """meeting AS (
+  SELECT o.*, coalesce((SELECT min(position) FROM curve k WHERE k.klass = o.klass AND r <> 0 AND r >= p),
+                       (SELECT max(position) FROM curve k WHERE k.klass = o.klass)) AS position
+  FROM sizes o)"""
+
+
+def learning_rounds(n: int) -> str:
+    """``n`` rounds of active learning, one after another: every round has its own tables."""
+    own = "sizes counted unseen totals smoothed probs model ranked features scores facts ranking curve meeting points chosen"
+    ctes = [
+        CORPUS,
+        SPLIT,
+        DOC_TAGS.format(source="corpus"),
+        """gold AS (SELECT g.tag AS klass, count(*) FILTER (WHERE NOT c.is_training) AS n_gold
+  FROM doc_tags g JOIN split_corpus c USING (doc_id) GROUP BY g.tag)""",
+        """terms AS (
+  SELECT doc_id, term, count(*) AS c FROM (
+    SELECT doc_id, unnest(string_split(lemmas, ' ')) AS term FROM split_corpus WHERE is_training)
+  WHERE length(term) >= 3 GROUP BY ALL)""",
+        """pool AS (
+  SELECT DISTINCT doc_id FROM (
+    SELECT g.doc_id, row_number() OVER (PARTITION BY g.tag ORDER BY md5('7:' || c.id), c.id) AS place
+    FROM doc_tags g JOIN split_corpus c USING (doc_id) WHERE c.is_training)
+  WHERE place <= 8)""",
+        """labelled_0 AS (
+  SELECT k.klass, p.doc_id, (p.doc_id, k.klass) IN (SELECT (doc_id, tag) FROM doc_tags) AS gold
+  FROM pool p, (SELECT DISTINCT tag AS klass FROM doc_tags WHERE doc_id IN (SELECT doc_id FROM pool)) k)""",
+        postings(),
+    ]
+    for i in range(n):
+        step = [
+            f"""sizes AS (
+  SELECT klass, count(*) AS n_train, count(*) FILTER (WHERE gold) AS n_pos,
+         count(*) FILTER (WHERE NOT gold) AS n_neg, any_value(n_gold) AS n_gold
+  FROM labelled_{i} JOIN gold USING (klass) GROUP BY klass)""",
+            f"""counted AS (
+  SELECT klass, term, CAST(sum(c) FILTER (WHERE l.gold) AS BIGINT) AS p,
+         CAST(coalesce(sum(c) FILTER (WHERE NOT l.gold), 0) AS BIGINT) AS n0,
+         any_value(n_pos) AS class_docs, any_value(n_train) AS all_docs
+  FROM labelled_{i} l JOIN terms USING (doc_id) JOIN sizes USING (klass)
+  GROUP BY klass, term HAVING p > 0)""",
+            *model()[3:],
+            BY_SCORE,
+            "features AS (SELECT * FROM ranked WHERE rank <= 50)",
+            SCORED,
+            f"""facts AS (
+  SELECT s.klass, s.doc_id, c.id, s.score, c.is_training,
+         (s.doc_id, s.klass) IN (SELECT (doc_id, tag) FROM doc_tags) AS gold
+  FROM scores s JOIN split_corpus c USING (doc_id)
+  WHERE (s.klass, s.doc_id) NOT IN (SELECT (klass, doc_id) FROM labelled_{i}))""",
+            RANKING,
+            CURVE.replace("overview", "sizes"),
+            MEETING,
+            POINTS,
+            """chosen AS (
+  SELECT klass, doc_id, gold FROM (
+    SELECT *, row_number() OVER (PARTITION BY klass ORDER BY score DESC, id) AS place
+    FROM facts JOIN (SELECT klass, n_train FROM sizes) USING (klass) WHERE is_training)
+  WHERE place <= n_train)""",
+            f"""labelled_{i + 1} AS (
+  SELECT * FROM labelled_{i} WHERE klass IN (SELECT klass FROM chosen)
+  UNION ALL SELECT klass, doc_id, gold FROM chosen)""",
+        ]
+        named = re.compile(rf"\b({'|'.join(own.split())})\b(?! BY)")
+        ctes += [named.sub(rf"\1_{i}", cte) for cte in step]
+    ctes = [re.sub(r"^(\w+) AS \(", r"\1 AS MATERIALIZED (", cte) for cte in ctes]
+    return with_(*ctes) + " UNION ALL ".join(
+        f"SELECT klass, {i} AS round, n_train, n_pos, n_neg, {RATES} FROM points_{i}" for i in range(n)
     )
 
 
@@ -445,6 +523,14 @@ WHERE klass = {MEMBER} AND rank <= 51""",
     "next_example_random": CANDIDATES
     + f"SELECT id, {num('score')} FROM free ORDER BY md5('7:' || id), id LIMIT 1",
     "train_from_id_sets": T_MODEL + f"SELECT klass, term, {fin('log_likelihood')} FROM model",
+    "train_from_stored_index": T_MODEL + f"SELECT klass, term, {fin('log_likelihood')} FROM model",
+    "forward_index": with_(CORPUS)
+    + """SELECT doc_id, term, count(*) AS tf FROM (
+  SELECT doc_id, unnest(string_split(lemmas, ' ')) AS term FROM corpus)
+WHERE length(term) >= 3 GROUP BY doc_id, term""",
+    "lexicon_df": with_(CORPUS, postings(), postings("title", name="title_terms"))
+    + """SELECT 'text' AS field, term, count(*) AS df FROM postings GROUP BY term
+UNION ALL SELECT 'title', term, count(*) FROM title_terms GROUP BY term""",
     "score_collection": scored(50)
     + f"SELECT doc_id, id, {num('score')} FROM scores JOIN corpus USING (doc_id)",
     "gold_flags": tags_model() + "SELECT klass, id, gold FROM facts",
@@ -455,6 +541,11 @@ WHERE klass = {MEMBER} AND rank <= 51""",
     "break_even_points": tags_model()
     + f"SELECT klass, n_gold, coalesce(position, 0) AS position, {RATES} FROM points",
     "class_overview": tags_model() + "SELECT klass, n_train, n_pos, n_train - n_pos AS n_neg, n_gold FROM overview",
+    "active_learning_rounds": learning_rounds(3),
+    "evaluation_report": tags_model()
+    + f"""SELECT concat_ws(' ', klass, n_train, n_pos, n_neg, {", ".join(
+        f"CASE WHEN isnan({x}) THEN 'NaN' ELSE CAST(CAST({six(x)} AS DECIMAL(9,6)) AS VARCHAR) END"
+        for x in ("p", "r", "f1"))}) AS line FROM points""",
     "one_vs_rest_tags": tags_model() + f"SELECT klass, n_train, n_pos, n_neg, {RATES} FROM points",
     "one_vs_rest_sequential": tags_model(drift=True)
     + f"SELECT klass, n_train, n_pos, n_neg, {RATES} FROM points",

@@ -16,6 +16,7 @@ from checks.tables import (
     rounded,
     seed_lines,
     shown,
+    six,
     split_corpus,
     table,
     toxic_labels,
@@ -44,7 +45,7 @@ from seedsift.operators.scoring import (
     stepwise_scores,
 )
 from seedsift.plans import experiment as ex
-from seedsift.plans.bounded import pin, scratch_path
+from seedsift.plans.bounded import scratch_path, settle
 from seedsift.plans.search import SearchOptions, index_corpus, search_by_example
 from seedsift.sources import index as ix
 from seedsift.sources.corpus import (
@@ -56,7 +57,7 @@ from seedsift.sources.corpus import (
     rejected_lines,
 )
 from seedsift.sources.model_store import feature_trace, load_model, model_listing, save_model
-from seedsift.sources.reports import write_results
+from seedsift.sources.reports import write_evaluation, write_results
 from seedsift.sources.seeds import MEMBER, parse_seeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,7 +82,7 @@ def toxic_model(spark, sf_dir, options=LearnOptions(), collection=None):
 def toxic_features(spark, sf_dir, n=50, options=LearnOptions()):
     """The best features of class 0: a few rows that several steps read."""
     model = toxic_model(spark, sf_dir, options).filter(F.col("klass") == MEMBER)
-    return pin(top_features(model, n, options.nan_policy), "features")
+    return settle(top_features(model, n, options.nan_policy), "features")
 
 
 def text_postings(spark, sf_dir):
@@ -393,12 +394,16 @@ def score_docs_no_feature(spark, sf_dir):
     return rounded(document_scores(corpus(spark, sf_dir), model, MEMBER, 0), "score")
 
 
+def stored_index(spark, sf_dir):
+    return ix.build_index(corpus(spark, sf_dir), scratch_path(spark, "index"))
+
+
 @query
 def score_stored_documents(spark, sf_dir):
-    """The labelled documents, looked up by id and scored with all features."""
-    docs = corpus(spark, sf_dir)
+    """The labelled documents, looked up by number in a stored index and scored with all features."""
     ids = toxic_labels(spark, sf_dir).select("doc_id")
-    scores = score_indexed_documents(docs, ids, toxic_model(spark, sf_dir), MEMBER)
+    index = stored_index(spark, sf_dir)
+    scores = score_indexed_documents(index, ids, toxic_model(spark, sf_dir), MEMBER)
     return rounded(scores, "score")
 
 
@@ -449,8 +454,8 @@ def search_top20(spark, sf_dir):
 
 @query
 def search_stored_index_top20(spark, sf_dir):
-    index = ix.build_index(corpus(spark, sf_dir), scratch_path(spark, "index"))
-    return rounded(search_by_example(index, parse_seeds(seed_lines(spark, sf_dir))), "score")
+    found = search_by_example(stored_index(spark, sf_dir), parse_seeds(seed_lines(spark, sf_dir)))
+    return rounded(found, "score")
 
 
 @query
@@ -517,15 +522,42 @@ def next_example_random(spark, sf_dir):
 # Experiments -----------------------------------------------------------------------------------
 
 
+def _id_sets(spark, sf_dir):
+    ids = toxic_labels(spark, sf_dir).select("klass", F.col("doc_id").cast("string").alias("id"))
+    return ids.filter("klass = 0").select("id"), ids.filter("klass = 1").select("id")
+
+
 @query
 def train_from_id_sets(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    ids = toxic_labels(spark, sf_dir).select("klass", F.col("doc_id").cast("string").alias("id"))
-    pos, neg = ids.filter("klass = 0").select("id"), ids.filter("klass = 1").select("id")
-    model = ex.train(docs, pos, neg)
+    model = ex.train(corpus(spark, sf_dir), *_id_sets(spark, sf_dir))
     return shown(model.select("klass", "term", "log_likelihood"), "log_likelihood")
 
 
+@query
+def train_from_stored_index(spark, sf_dir):
+    """Ids and terms of the labelled documents are looked up in a stored index."""
+    model = ex.train(stored_index(spark, sf_dir), *_id_sets(spark, sf_dir))
+    return shown(model.select("klass", "term", "log_likelihood"), "log_likelihood")
+
+
+@query
+def forward_index(spark, sf_dir):
+    """Every document's terms that learning counts, with their occurrences."""
+    stored = stored_index(spark, sf_dir).stored
+    return stored.forward.rows.select("doc_id", "term", F.col("tf").cast("bigint").alias("tf"))
+
+
+@query
+def lexicon_df(spark, sf_dir):
+    """Documents per term, by the lexicons of a stored index alone."""
+    stored = stored_index(spark, sf_dir).stored
+    fields = [("text", stored.text), ("title", stored.title)]
+    return reduce(
+        DataFrame.unionByName,
+        [p.document_frequency().select(F.lit(name).alias("field"), "term", "df") for name, p in fields],
+    )
+
+
 @query
 def score_collection(spark, sf_dir):
     docs = corpus(spark, sf_dir)
@@ -584,18 +616,28 @@ def one_vs_rest_sequential(spark, sf_dir):
 
 @query
 def active_learning_rounds(spark, sf_dir):
-    """Languages learned from eight examples each; the labelled documents double every round."""
-    docs = split_corpus(spark, sf_dir).withColumn("tags", F.element_at(F.split("tags", " "), 1))
-    first = ex.with_roles(docs).filter("is_training").select(
+    """All tags, learned from eight examples of each; what a class has labelled doubles every round."""
+    docs = split_corpus(spark, sf_dir)
+    index = ix.build_index(docs, scratch_path(spark, "index"))
+    tagged = ex.with_roles(index.docs).filter("is_training").select(
         "doc_id", "id", F.explode("klasses").alias("klass")
     )
-    picks = pin(ex.first_examples(first, per_class=8, seed=7).select("klass", "doc_id"), "first-examples")
-    # The examples of a language are negative examples of every other one.
-    languages = sorted(row["klass"] for row in picks.select("klass").distinct().collect())
-    own = F.col("klass")
-    seeds = picks.select(
-        F.explode(F.array(*[F.lit(x) for x in languages])).alias("target"), "doc_id", own
-    ).select(F.col("target").alias("klass"), "doc_id", (F.col("target") == own).alias("gold"))
-    index = ix.build_index(docs, scratch_path(spark, "index"))
-    rounds = ex.active_learning(index.docs, index.text, seeds, batch="double")
+    pool = ex.first_examples(tagged, per_class=8, seed=7).select("doc_id")
+    rounds = ex.active_learning(
+        index, index.searchable(), None, batch="double", max_rounds=3, pool=pool
+    )
     return shown(rounds, "p", "r", "f1")
+
+
+@query
+def evaluation_report(spark, sf_dir):
+    """The printed report of the experiment over all tags, through the text sink."""
+    path = scratch_path(spark, "evaluation")
+    docs = split_corpus(spark, sf_dir)
+    report = ex.one_vs_rest(docs, ix.postings(docs))
+    figures = [
+        F.when(F.isnan(c), F.lit("NaN")).otherwise(six(F.col(c)).cast("decimal(9,6)").cast("string")).alias(c)
+        for c in ("p", "r", "f1")
+    ]
+    write_evaluation(report.select("klass", "n_train", "n_pos", "n_neg", *figures), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedsift.functions.text import long_enough, space_tokens
-from seedsift.plans.bounded import keyed_join
+from seedsift.plans.bounded import keyed_join, settle
+from seedsift.sources.index import Index
 
 
 def class_sizes(labels: DataFrame) -> DataFrame:
@@ -37,7 +38,22 @@ def count_terms(
     """
     labels = labels.select("klass", "doc_id").dropDuplicates()
     by_class = docs.select("doc_id", text_col).join(labels, "doc_id")
-    counted = _count_by_class(by_class, text_col)
+    return _against_the_others(_count_by_class(by_class, text_col), labels)
+
+
+def count_indexed_terms(index: Index, labels: DataFrame, text_col: str = "lemmas") -> DataFrame:
+    """The same from an index: only what it holds of the labelled documents is read, from the
+    forward index or, for another field, from the stored documents."""
+    labels = settle(labels.select("klass", "doc_id").dropDuplicates(), "counted-labels")
+    if text_col != "lemmas":
+        return count_terms(index.documents(labels), labels, text_col)
+    by_class = index.term_counts(labels).join(labels, "doc_id")
+    counted = by_class.groupBy("klass", "term").agg(F.sum("tf").alias("p"))
+    return _against_the_others(counted, labels)
+
+
+def _against_the_others(counted: DataFrame, labels: DataFrame) -> DataFrame:
+    """Negatives by subtraction, and the sizes of the classes, from (klass, term, p)."""
     every = F.sum("p").over(Window.partitionBy("term"))  # at most one row a class
     counted = counted.withColumn("n", every - F.col("p"))
     return keyed_join(counted, with_total(class_sizes(labels)), ["klass"])

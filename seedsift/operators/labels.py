@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seedsift.sources.index import Index
 from seedsift.sources.seeds import MEMBER, OTHER
 
 TRAINING_PREFIX = "training/"
@@ -15,30 +16,31 @@ def has_prefix(id_col: str, prefix: str) -> Column:
     return F.col(id_col).startswith(prefix)
 
 
-def _first_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    return (
-        docs.select("id", "doc_id")
-        .join(wanted.select("id").dropDuplicates(), "id", "left_semi")
-        .groupBy("id")
-        .agg(F.min("doc_id").alias("doc_id"))
-    )
+def _first_documents(docs: DataFrame | Index, wanted: DataFrame) -> DataFrame:
+    if isinstance(docs, Index):
+        found = docs.numbers(wanted)
+    else:
+        ids = wanted.select("id").dropDuplicates()
+        found = docs.select("id", "doc_id").join(ids, "id", "left_semi")
+    return found.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
 
 
-def resolve_ids(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` with the ``doc_id`` of each id; the first document wins when an id repeats."""
+def resolve_ids(docs: DataFrame | Index, wanted: DataFrame) -> DataFrame:
+    """``wanted`` with the ``doc_id`` of each id; the first document wins when an id repeats. An
+    index in files opens only the buckets of the wanted ids."""
     return wanted.join(_first_documents(docs, wanted), "id")
 
 
-def unknown_ids(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def unknown_ids(docs: DataFrame | Index, wanted: DataFrame) -> DataFrame:
     return wanted.join(_first_documents(docs, wanted), "id", "left_anti")
 
 
-def labels_from_seeds(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+def labels_from_seeds(docs: DataFrame | Index, seeds: DataFrame) -> DataFrame:
     """Distinct (klass, doc_id) of the seeds that the corpus knows."""
     return resolve_ids(docs, seeds).select("klass", "doc_id").dropDuplicates()
 
 
-def labels_from_id_sets(docs: DataFrame, pos: DataFrame, neg: DataFrame) -> DataFrame:
+def labels_from_id_sets(docs: DataFrame | Index, pos: DataFrame, neg: DataFrame) -> DataFrame:
     """Positive ids become class 0, negative ids class 1."""
     wanted = (
         pos.select(F.lit(MEMBER).alias("klass"), "id")

@@ -3,9 +3,10 @@
 Posting scores count a (document, term) pair once and return only documents with a selected
 feature. Document scores count every token occurrence and return 0.0 for a document without any.
 
-Scores are plain doubles. The few hits of a document are added up in the order of the features'
-ranks, so a score does not depend on the order in which tasks deliver their parts, and step by step
-gives the same doubles as all at once.
+Scores are never rounded. The few hits of a document on selected features are added up in the order
+of their ranks, as a walk from feature to feature does, so step by step gives the same doubles as
+all at once. The many tokens of a document are added up where they are found, by a sum that does
+not depend on the order (``functions/exact.py``).
 """
 
 from __future__ import annotations
@@ -15,52 +16,57 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seedsift.functions.exact import exact_sum
 from seedsift.functions.text import space_tokens
 from seedsift.operators.learn import top_features
 from seedsift.plans.bounded import (
     BROADCAST_BYTES,
     HOT_SHARE,
-    fetch_bounded,
     hot_split_join,
-    keyed_join,
-    local_frame,
     measured_bytes,
     settle,
 )
-from seedsift.sources.index import restrict_to_terms
+from seedsift.sources.index import Index, StoredPostings
 
 FEATURES_EXPERIMENT = 50
 FEATURES_SEARCH = 51  # the search tool stops after the step with index 50
-PUSHED_TERMS = 500
 
 _FEATURE_COLUMNS = ("klass", "term", "rank", "log_likelihood")
 
 
+def posting_hits(term_postings: DataFrame | StoredPostings, features: DataFrame) -> DataFrame:
+    """The postings of the selected features: (klass, term, rank, log_likelihood, doc_id).
+
+    The features are written out and measured. Stored postings are read only where these terms are,
+    however many there are; the join is a broadcast of a list that has been measured to be small, or
+    a shuffle with its hot terms split.
+    """
+    features = settle(features.select(*_FEATURE_COLUMNS), "features")
+    if isinstance(term_postings, StoredPostings):
+        term_postings = term_postings.near(features)
+    return _weighted(term_postings, features, measured_bytes(features), "inner")
+
+
+def _weighted(
+    rows: DataFrame,
+    weights: DataFrame,
+    n_bytes: int,
+    how: str,
+    max_bytes: int = BROADCAST_BYTES,
+    hot_share: int = HOT_SHARE,
+) -> DataFrame:
+    if n_bytes <= max_bytes:
+        return rows.join(F.broadcast(weights), "term", how)
+    return hot_split_join(rows, weights, ["term"], how, hot_share)
+
+
 def _summed(rank: str, value: str) -> Column:
-    """The sum of the values that are there, in the order of ``rank``; 0.0 where there is none."""
-    part = F.struct(F.col(rank).alias("r"), F.col(value).alias("v"))
-    parts = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), part)))
+    """The sum of the values in the order of ``rank``; at most as many as there are features."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(value).alias("v"))))
     return F.aggregate(parts, F.lit(0.0), lambda total, part: total + part["v"])
 
 
-def posting_hits(term_postings: DataFrame, features: DataFrame) -> DataFrame:
-    """The postings of the selected features: (klass, term, rank, log_likelihood, doc_id).
-
-    A short feature list is fetched, so that its terms reach the Parquet scan as a filter and
-    the join is a broadcast of that list. A long one is joined with a size check.
-    """
-    features = features.select(*_FEATURE_COLUMNS)
-    rows = fetch_bounded(features)
-    if rows is None:
-        return keyed_join(term_postings, features, ["term"], max_rows=0)
-    terms = sorted(set(rows["term"].to_pylist()))
-    if len(terms) <= PUSHED_TERMS:
-        term_postings = restrict_to_terms(term_postings, terms)
-    local = local_frame(term_postings.sparkSession, rows, features.schema)
-    return term_postings.join(F.broadcast(local), "term")
-
-
-def posting_scores(term_postings: DataFrame, features: DataFrame) -> DataFrame:
+def posting_scores(term_postings: DataFrame | StoredPostings, features: DataFrame) -> DataFrame:
     """(klass, doc_id, score): the sum over the distinct selected terms of a document."""
     hits = posting_hits(term_postings, features)
     return hits.groupBy("klass", "doc_id").agg(_summed("rank", "log_likelihood").alias("score"))
@@ -129,16 +135,14 @@ def score_documents(
     max_bytes: int = BROADCAST_BYTES,
     hot_share: int = HOT_SHARE,
 ) -> DataFrame:
-    """(doc_id, score) of every document by weights that are there already."""
-    tokens = docs.select(
-        "doc_id", F.posexplode_outer(space_tokens(F.col(text_col))).alias("pos", "term")
+    """(doc_id, score) of every row of ``docs`` by weights that are there already."""
+    rows = docs.select("doc_id", text_col).withColumn("_row", F.monotonically_increasing_id())
+    tokens = rows.select(
+        "_row", "doc_id", F.explode_outer(space_tokens(F.col(text_col))).alias("term")
     )
-    if weights.n_bytes <= max_bytes:
-        weighted = tokens.join(F.broadcast(weights.terms), "term", "left")
-    else:
-        weighted = hot_split_join(tokens, weights.terms, ["term"], "left", hot_share)
-    # Added up in the order of the tokens; a group is as long as a document.
-    return weighted.groupBy("doc_id").agg(_summed("pos", "log_likelihood").alias("score"))
+    weighted = _weighted(tokens, weights.terms, weights.n_bytes, "left", max_bytes, hot_share)
+    scored = weighted.groupBy("_row", "doc_id").agg(exact_sum("log_likelihood").alias("score"))
+    return scored.drop("_row")
 
 
 def document_scores(
@@ -157,15 +161,26 @@ def document_scores(
 
 
 def score_indexed_documents(
-    docs: DataFrame, ids: DataFrame, model: DataFrame, klass, n: int = -1, text_col: str = "lemmas"
+    index: Index,
+    ids: DataFrame,
+    model: DataFrame,
+    klass,
+    n: int = -1,
+    nan_policy: str = "ieee",
+    max_bytes: int = BROADCAST_BYTES,
+    hot_share: int = HOT_SHARE,
 ) -> DataFrame:
-    """Document scores of stored documents given by ``doc_id``."""
-    return document_scores(
-        docs.join(ids.select("doc_id").dropDuplicates(), "doc_id", "left_semi"),
-        model,
-        klass,
-        n,
-        text_col,
+    """Document scores of indexed documents given by ``doc_id``, however many: only their parts of
+    the forward index are read, and each distinct term counts by its occurrences."""
+    wanted = settle(ids.select("doc_id").dropna().distinct(), "scored-ids")
+    weights = class_weights(model, klass, n, nan_policy)
+    counted = _weighted(
+        index.term_counts(wanted), weights.terms, weights.n_bytes, "inner", max_bytes, hot_share
+    )
+    sums = counted.groupBy("doc_id").agg(exact_sum("log_likelihood", "tf").alias("score"))
+    known = index.documents(wanted).select("doc_id")
+    return known.join(sums, "doc_id", "left").select(
+        "doc_id", F.coalesce("score", F.lit(0.0)).alias("score")
     )
 
 
@@ -187,7 +202,7 @@ class StepSearch:
     ``ranked`` is the ranked model; ``n_features`` how many steps there are.
     """
 
-    def __init__(self, term_postings: DataFrame, ranked: DataFrame, klass):
+    def __init__(self, term_postings: DataFrame | StoredPostings, ranked: DataFrame, klass):
         self._postings = term_postings
         self.features = ranked.filter(F.col("klass") == klass)
         self.n_features = self.features.count()

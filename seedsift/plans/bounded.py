@@ -17,7 +17,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -118,30 +118,31 @@ def keyed_join(
 def hot_split_join(
     big: DataFrame, small: DataFrame, on: Sequence[str], how: str, hot_share: int = HOT_SHARE
 ) -> DataFrame:
-    """Shuffle join whose hot keys take a broadcast instead.
+    """Shuffle join in which a hot key is dealt to several tasks.
 
-    Fewer than ``hot_share`` keys can each hold more than 1/hot_share of the rows, so no shuffled
-    key is large; what ``small`` has for them is measured before it is broadcast, since its keys
-    need not be unique. Rows with a NULL key have no partner and take no part in the shuffle.
+    Fewer than ``hot_share`` keys can each hold more than 1/hot_share of the rows. The rows of such
+    a key get a salt, as many salts as it has shares, and what ``small`` has for it is repeated for
+    each of them, fewer than twice ``hot_share`` times in all. So no shuffled key is large, and
+    ``big`` goes through one join. Rows with a NULL key have no partner and are dealt evenly.
     """
     keys = list(on)
     per_key = settle(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
     rows = per_key.agg(F.sum("_n")).first()[0] or 0
-    hot = F.broadcast(per_key.filter(F.col("_n") > rows / hot_share).select(*keys).dropna())
-    hot_small = small.join(hot, keys, "left_semi")
-    if measured_bytes(hot_small) <= BROADCAST_BYTES:
-        hot_small = F.broadcast(hot_small)
-    hot_part = big.join(hot, keys, "left_semi").join(hot_small, keys, how)
-    whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
-    cold_part = (
-        big.filter(whole)
-        .join(hot, keys, "left_anti")
-        .join(small.join(hot, keys, "left_anti"), keys, how)
+    share = max(rows / hot_share, 1.0)
+    hot = F.broadcast(
+        per_key.dropna(subset=keys)
+        .filter(F.col("_n") > share)
+        .select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_salts"))
     )
-    joined = hot_part.unionByName(cold_part)
-    if how == "left":
-        joined = joined.unionByName(big.filter(~whole), allowMissingColumns=True)
-    return joined
+    missing = reduce(or_, [F.col(k).isNull() for k in keys])
+    salts = F.when(missing, F.lit(hot_share)).otherwise(F.coalesce("_salts", F.lit(1)))
+    left = big.join(hot, keys, "left").withColumn(
+        "_salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int")
+    )
+    right = small.join(hot, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    )
+    return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
 
 
 def in_list(column: str, values: Sequence, spark: SparkSession) -> Column:

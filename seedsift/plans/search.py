@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedsift.functions.text import snippet
+from seedsift.operators.counts import count_indexed_terms
 from seedsift.operators.labels import labels_from_seeds, without_labelled
-from seedsift.operators.learn import LearnOptions, learn, top_features
+from seedsift.operators.learn import LearnOptions, score_counts, top_features
 from seedsift.operators.ranking import TOP_K, result_order, top_documents
 from seedsift.operators.scoring import FEATURES_SEARCH, posting_scores
-from seedsift.plans.bounded import bounded_frame, pin
-from seedsift.sources.corpus import number_lines, parse_lines, read_lines, rejected_lines
-from seedsift.sources.index import Index, build_index, pick_documents
+from seedsift.plans.bounded import settle
+from seedsift.sources.corpus import number_lines, read_lines, sorted_out
+from seedsift.sources.index import Index, index_stored, store_documents
 from seedsift.sources.seeds import MEMBER
 
 
@@ -26,11 +27,12 @@ def index_corpus(
     max_word: int | None = None,
 ) -> tuple[Index, DataFrame]:
     """Indexes a corpus of one or several files, in the order of the files; also returns the
-    rejected lines with their numbers."""
-    lines = number_lines(read_lines(spark, corpus_path))
-    documents = parse_lines(lines).select("doc_id", "id", "title", "lemmas", "tags")
-    rejects = rejected_lines(lines).select("file_path", "line_no", "raw_line")
-    return build_index(documents, index_path, max_tokens, max_word), rejects
+    rejected lines with their numbers. The files are read twice: to count lines, and to write
+    documents and rejected lines, which stay in the order and the partitions they are read in."""
+    rows = sorted_out(number_lines(read_lines(spark, corpus_path)))
+    documents, rejects = store_documents(rows, index_path)
+    index = index_stored(documents, index_path, max_tokens, max_word)
+    return index, rejects.select("file_path", "line_no", "raw_line")
 
 
 @dataclass(frozen=True)
@@ -46,24 +48,22 @@ def search_by_example(
     index: Index, seeds: DataFrame, options: SearchOptions = SearchOptions()
 ) -> DataFrame:
     """The best ``k`` unlabelled documents for the ``+`` seeds: (doc_id, score, id, title, snippet)."""
-    labels = pin(labels_from_seeds(index.docs, seeds), "labels")
-    labelled = pick_documents(index.docs, labels)
-    model = learn(labelled, labels, options.learn, options.field)
+    labels = settle(labels_from_seeds(index, seeds), "labels")
+    model = score_counts(count_indexed_terms(index, labels, options.field), options.learn)
     features = top_features(
         model.filter(F.col("klass") == MEMBER), options.n_features, options.learn.nan_policy
     )
-    scores = posting_scores(index.postings_of(options.field), features)
+    scores = posting_scores(index.searchable(options.field), features)
     best = top_documents(without_labelled(scores, labels).drop("klass"), options.k)
-    return present(index.docs, best, options)
+    return present(index, best, options)
 
 
-def present(docs: DataFrame, best: DataFrame, options: SearchOptions) -> DataFrame:
+def present(index: Index, best: DataFrame, options: SearchOptions) -> DataFrame:
     """Stored fields of the winners, and of no other document."""
-    winners = bounded_frame(best)
-    if winners is not None:
-        best, docs = F.broadcast(winners), pick_documents(docs, winners)
+    best = settle(best, "winners")
     return (
-        docs.join(best, "doc_id")
+        index.documents(best)
+        .join(best, "doc_id")
         .select(
             "doc_id",
             "score",

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seedsift.plans.bounded import keyed_join
-
 CORPUS_SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType(), False),
@@ -21,6 +20,9 @@ CORPUS_SCHEMA = T.StructType(
 )
 
 
+_NAMES = ("id", "title", "lemmas", "tags")
+
+
 def read_lines(spark: SparkSession, path) -> DataFrame:
     """Every line with ``doc_id``, a unique number that grows along each input split, but says
     nothing about the order of the splits: those are packed by size. See ``number_lines``."""
@@ -36,19 +38,22 @@ def number_lines(lines: DataFrame) -> DataFrame:
     """Adds ``line_no``, the exact 1-based number in the order of the files, and lets ``doc_id``
     follow it from 0, so that "the earlier document" means the same for any number of files.
 
-    Lines are counted per input split, by one more pass over the files; only those counts (one row
-    a split) are accumulated.
+    Lines are counted per input split, by one more pass over the files. The counts are one row a
+    split, which the driver has planned anyway: they are added up there and go to all tasks, and no
+    line moves.
     """
     split = ["file_path", "block_start"]
     counts = lines.groupBy(*split).agg(
         F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_first")
     )
-    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    rows = sorted(tuple(row) for row in counts.toLocalIterator())
+    before = accumulate((n for _, _, n, _ in rows), initial=0)
+    offsets = lines.sparkSession.createDataFrame(
+        [(path, start, first, done) for (path, start, _, first), done in zip(rows, before)],
+        "file_path string, block_start bigint, _first bigint, _before bigint",
     )
     place = F.col("_before") + F.col("doc_id") - F.col("_first")
-    return keyed_join(lines, offsets, split).select(
+    return lines.join(F.broadcast(offsets), split).select(
         place.alias("doc_id"),
         *[c for c in lines.columns if c != "doc_id"],
         (place + 1).alias("line_no"),
@@ -59,18 +64,16 @@ def _parts() -> Column:
     return F.split("value", "\t", 4)
 
 
+def _fields() -> list[Column]:
+    return [F.get("_parts", F.lit(i)).alias(name) for i, name in enumerate(_NAMES)]
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Documents from lines with three or four columns; further tabs stay in the tags."""
     return (
         lines.withColumn("_parts", _parts())
         .filter(F.size("_parts") >= 3)
-        .select(
-            *[c for c in lines.columns if c != "value"],
-            F.get("_parts", F.lit(0)).alias("id"),
-            F.get("_parts", F.lit(1)).alias("title"),
-            F.get("_parts", F.lit(2)).alias("lemmas"),
-            F.get("_parts", F.lit(3)).alias("tags"),
-        )
+        .select(*[c for c in lines.columns if c != "value"], *_fields())
     )
 
 
@@ -79,6 +82,23 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(F.size(_parts()) < 3).withColumnRenamed("value", "raw_line")
 
 
+def sorted_out(lines: DataFrame) -> DataFrame:
+    """Documents and rejected lines in one frame, told apart by ``valid`` (1 or 0): documents have
+    the columns of a corpus, rejected lines ``file_path``, ``line_no`` and ``raw_line``."""
+    fine = F.size("_parts") >= 3
+    marked = lines.withColumn("_parts", _parts()).withColumn("valid", fine.cast("int"))
+    rejected = F.col("valid") == 0
+    fields = [F.when(~rejected, field).alias(name) for field, name in zip(_fields(), _NAMES)]
+    return marked.select(
+        "doc_id",
+        *fields,
+        F.when(rejected, F.col("file_path")).alias("file_path"),
+        F.when(rejected, F.col("line_no")).alias("line_no"),
+        F.when(rejected, F.col("value")).alias("raw_line"),
+        "valid",
+    )
+
+
 def read_corpus(spark: SparkSession, path) -> DataFrame:
     lines = number_lines(read_lines(spark, path))
     return parse_lines(lines).select(*CORPUS_SCHEMA.fieldNames())

@@ -27,7 +27,7 @@ from seedsift.operators.scoring import (
 )
 from seedsift.plans.bounded import pin
 from seedsift.sources.corpus import corpus_from_rows
-from seedsift.sources.index import document_frequency, postings
+from seedsift.sources.index import document_frequency, index_view, postings
 
 
 def random_texts(n, seed):
@@ -191,7 +191,7 @@ def test_repeated_token_counts_once_in_postings_only(spark):
 
 def test_scores_of_stored_documents(docs, ranked, spark):
     ids = spark.createDataFrame([(3,), (3,), (8,)], "doc_id bigint")
-    some = {r["doc_id"]: r["score"] for r in score_indexed_documents(docs, ids, ranked, 1).collect()}
+    some = {r["doc_id"]: r["score"] for r in score_indexed_documents(index_view(docs), ids, ranked, 1).collect()}
     everything = {r["doc_id"]: r["score"] for r in document_scores(docs, ranked, 1).collect()}
     assert some == {d: everything[d] for d in (3, 8)}
 
