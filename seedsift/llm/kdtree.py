@@ -96,10 +96,20 @@ def box_distance(low: np.ndarray, high: np.ndarray, point: np.ndarray) -> np.nda
         return (apart**2).sum(1)
 
 
+def largest(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` largest scores, unordered; of equal ones those with smaller ids."""
+    cut = np.partition(scores, len(scores) - k)[len(scores) - k]
+    above = np.flatnonzero(scores > cut)
+    ties = np.flatnonzero(scores == cut)
+    if len(above) + len(ties) > k:
+        ties = ties[np.argsort(ids[ties], kind="stable")[: k - len(above)]]
+    return np.concatenate([above, ties])
+
+
 class Block:
     """A block of vectors, indexed by a kd-tree over their projections."""
 
-    def __init__(self, vectors: np.ndarray, points: np.ndarray):
+    def __init__(self, vectors: np.ndarray, points: np.ndarray, ids: np.ndarray | None = None):
         leaves = 1 << max(0, math.ceil(math.log2(max(len(points), 1) / BUCKET)))
         splits = Splits.of(points, leaves)
         leaf = assign(splits, points)
@@ -107,6 +117,7 @@ class Block:
         self.stops = np.cumsum(np.bincount(leaf, minlength=leaves))
         self.low, self.high = boxes(points, leaf, leaves)
         self.vectors = vectors[self.order]
+        self.ids = self.order if ids is None else ids[self.order]
 
     def nearest(
         self,
@@ -117,7 +128,8 @@ class Block:
         quantile: float,
         bound: float = -np.inf,
     ) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of the ``k`` largest inner products found, unordered.
+        """(rows, scores) of the ``k`` largest inner products found, unordered; of equal ones those
+        with smaller ids.
 
         Buckets come in order of projected distance and are verified in full. ``base`` is the
         squared length of the query plus that of the longest vector, so that ``base - 2 * score``
@@ -133,7 +145,7 @@ class Block:
             kth = bound
             if len(scores) >= k:
                 kth = max(bound, scores.min())
-            if far[order[taken]] >= quantile * max(base - 2 * kth, 0):
+            if far[order[taken]] > quantile * max(base - 2 * kth, 0):
                 break
             part = order[taken : taken + step]
             ends = self.stops[part]
@@ -142,7 +154,7 @@ class Block:
             found = (self.vectors[at] * query).sum(1)
             rows, scores = np.append(rows, at), np.append(scores, found)
             if len(scores) > k:
-                best = np.argpartition(-scores, k - 1)[:k]
+                best = largest(scores, self.ids[rows], k)
                 rows, scores = rows[best], scores[best]
             taken += step
             step *= 2

@@ -106,12 +106,15 @@ def nearest_neighbours(
             points = kdtree.raised(_matrix(batch.column("vec"), dims), largest) @ matrix
             block = kdtree.assign(splits, points)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(block, pa.int64())], ["key", "vec", "block"]
+                [*batch.columns, pa.array(block, pa.int64())], ["key", "vec", "first", "block"]
             )
 
+    # The smallest id of each vector decides between equal scores.
     indexed = settle(
         map_batches(
-            distinct.select("key", "vec"), dealt, "key bigint, vec array<double>, block bigint"
+            distinct.select("key", "vec", F.get("ids", F.lit(0)).alias("first")),
+            dealt,
+            "key bigint, vec array<double>, first bigint, block bigint",
         ),
         "ann-blocks",
     )
@@ -183,7 +186,7 @@ def nearest_neighbours(
     second = _searched(indexed, others, k, dims, matrix, largest, quantile)
 
     # The best k + 1 distinct vectors of each query, then the best k + 1 rows.
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "key")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "first", "key")
     found = (
         first.union(second)
         .withColumn("place", F.row_number().over(best))
@@ -268,24 +271,28 @@ def _searched(
     largest: float,
     quantile: float,
 ) -> DataFrame:
-    """(query, key, score): what each query finds in the block it is sent to, at most ``k + 1``
-    distinct vectors. A block with more than ``QUERIES`` queries is given to several tasks."""
+    """(query, key, score, first): what each query finds in the block it is sent to, at most
+    ``k + 1`` distinct vectors, with the smallest id of each. A block with more than ``QUERIES`` queries is given to several tasks."""
     queries = settle(queries, "ann-visits")
     # One row per block.
     parts = queries.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
     left = indexed.join(F.broadcast(parts), "block").select(
-        "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", "vec"
+        "block",
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        "key",
+        "vec",
+        "first",
     )
     right = queries.join(F.broadcast(parts), "block").select(
         "block", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"), "key", "vec", "bound"
     )
 
     def run(candidates: pa.Table, asked: pa.Table) -> pa.Table:
-        out = ([], [], [])
+        out = ([], [], [], [])
         if candidates.num_rows and asked.num_rows:
             vectors = _matrix(candidates["vec"], dims)
-            keys = candidates["key"].to_numpy()
-            block = kdtree.Block(vectors, kdtree.raised(vectors, largest) @ matrix)
+            keys, ids = candidates["key"].to_numpy(), candidates["first"].to_numpy()
+            block = kdtree.Block(vectors, kdtree.raised(vectors, largest) @ matrix, ids)
             vecs = _matrix(asked["vec"], dims)
             points = vecs @ matrix[:dims]
             bounds = asked["bound"].to_pylist()
@@ -296,14 +303,15 @@ def _searched(
                 out[0].append(np.full(len(rows), query))
                 out[1].append(keys[rows])
                 out[2].append(scores)
-        kinds = (pa.int64(), pa.int64(), pa.float64())
+                out[3].append(ids[rows])
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
         columns = [
             pa.array(np.concatenate(c) if c else (), kind) for c, kind in zip(out, kinds)
         ]
-        return pa.Table.from_arrays(columns, ["query", "key", "score"])
+        return pa.Table.from_arrays(columns, ["query", "key", "score", "first"])
 
     return (
         left.groupBy("block", "part")
         .cogroup(right.groupBy("block", "part"))
-        .applyInArrow(run, "query bigint, key bigint, score double")
+        .applyInArrow(run, "query bigint, key bigint, score double, first bigint")
     )
