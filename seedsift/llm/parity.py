@@ -3,15 +3,16 @@
 A sketch has one bit per shingle hash position, and every shingle flips its bit. Two sketches
 therefore differ in at most as many bits as their sets differ in shingles. Sets whose Jaccard
 similarity is at least ``t`` differ in at most ``a (1 - t) / t`` shingles, ``a`` being the size of
-the smaller one, and their sizes in no more than by the factor ``1 / t``. So sizes are cut into bands of that
-ratio, each band has a sketch of one more block than its sets may differ in, and by the pigeonhole
-similar sets agree in some whole block: equal blocks are join keys, and no pair is missed. Pairs
-that meet are discarded by the distance of a second, short sketch and the survivors are verified.
-
-Equal sets are one node. First a few blocks of each node lead it to one node of the same key, its
-hub; what verifies makes components. Then all blocks are compared, but only keys on which different
-components meet, and only pairs across them: within a component nothing more can be learned, so a
-large group of near copies does not cost all its pairs, and no link between components is lost.
+the smaller one, and their sizes in no more than by the factor ``1 / t``. So sizes are cut into bands
+of that ratio, each band has a sketch of one more block than its sets may differ in, and by the
+pigeonhole similar sets agree in some whole block: equal blocks are join keys, and no pair is missed.
+Pairs that meet are discarded by the distance of a second, short sketch and the survivors verified.
+
+Equal sets are one node. Keys that no other node has go. Then each node is compared with a few of
+those that share its keys, its hubs, and what verifies makes components. Then all pairs that share a
+key are compared, but only keys on which different components meet, and only pairs across them:
+within a component nothing more can be learned, so a large group of near copies does not cost all
+its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -35,10 +36,10 @@ SEED = 42
 CHUNK_BYTES = 1 << 20  # texts whose shingles are hashed at once
 BLOCK_BITS = 64
 FOLD_BITS = 512  # of the short sketch
-HUB_BLOCKS = 4  # of each band's sketch that lead to hubs
 HUBS = 3  # orders in which the first of a key is its hub
 SEEN = 100_000  # nodes that a task remembers, so as not to send them again
-SENT_KEYS = 1 << 20  # eight bytes each; more are not broadcast
+SENT_TEXTS = 1 << 17  # eight bytes each; more are not broadcast
+LOWEST = 16  # keys of a node that tell at which key a pair meets
 
 
 def bands(top: int, percent: int) -> list[int]:
@@ -155,7 +156,7 @@ def sketch_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def _sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, hashes) of some nodes, from the texts of their ``t``."""
     wanted = settle(nodes.select("t").distinct(), "jaccard-texts")
-    if wanted.count() <= SENT_KEYS:
+    if wanted.count() <= SENT_TEXTS:
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, "t", "left_semi").select("text")
 
@@ -178,7 +179,6 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 )
 
     sets = map_batches(texts, run, "node binary, hashes array<bigint>")
-    sets = sets.join(nodes.select("node"), "node", "left_semi")
     return settle(sets.dropDuplicates(["node"]), "jaccard-sets")
 
 
@@ -202,78 +202,86 @@ def _verified(
     )
 
 
-def _hub_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node and a few that share one of its first blocks: of all nodes of a key, those
-    that come first in some orders, and of these for each node again the first."""
-    ranks = [F.xxhash64("node", F.lit(i)).alias(f"r{i}") for i in range(HUBS)]
-    names = [f"r{i}" for i in range(HUBS)]
-    some = F.concat(F.slice("own", 1, HUB_BLOCKS), F.slice("less", 1, HUB_BLOCKS))
-    keyed = settle(
-        nodes.select(F.xxhash64("node").alias("x"), *ranks, F.explode(some).alias("key")), "jaccard-hub-keys"
+def _shared(rows: DataFrame) -> DataFrame:
+    """(key, x): the keys that several nodes have, with these nodes; most keys have one and go.
+
+    An aggregate by key says which; then eight bytes of key and node travel for each row."""
+    keyed = rows.filter("own IS NOT NULL").select(
+        "x", F.explode(F.concat("own", "less")).alias("key")
     )
-    hubs = (
+    met = settle(
         keyed.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), *[F.min(r).alias(f"h{r}") for r in names])
-        .filter("n > 1")
-        .drop("n")
+        .agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+        .filter("lo < hi")
+        .select("key"),
+        "jaccard-keys",
     )
-    led = (
-        keyed.join(hubs, "key")
-        .groupBy("x")
-        .agg(*[F.min(f"h{r}").alias(r) for r in names])
+    return settle(keyed.join(met, "key").distinct(), "jaccard-shared")
+
+
+def _plausible(percent: int) -> Column:
+    """Of two nodes ``a`` and ``b``: neither the sizes nor the short sketches rule a link out."""
+
+    def apart(i: int) -> Column:
+        return F.bit_count(F.col("a.fold")[i].bitwiseXOR(F.col("b.fold")[i]))
+
+    distance = reduce(add, [apart(i) for i in range(FOLD_BITS // 64)])
+    sizes = F.col("a.n") + F.col("b.n")
+    close = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    return close & ((100 + percent) * distance <= (100 - percent) * sizes)
+
+
+def _hub_pairs(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): plausible pairs of a node and a hub of one of its keys: of all nodes of a key, one
+    that comes first in some order."""
+    names = [f"r{i}" for i in range(HUBS)]
+    ranks = [F.xxhash64("x", F.lit(i)).alias(r) for i, r in enumerate(names)]
+    hubs = shared.select("key", *ranks).groupBy("key").agg(*[F.min(r).alias(r) for r in names])
+    led = shared.join(hubs, "key").select("x", F.explode(F.array(*names)).alias("r")).distinct()
+    ranked = nodes.select("node", "n", "fold", F.explode(F.array(*ranks)).alias("r"))
+    own = nodes.select("x", "node", "n", "fold").join(settle(led, "jaccard-led"), "x")
+    pairs = own.alias("a").join(
+        ranked.alias("b"), (F.col("a.r") == F.col("b.r")) & _plausible(percent)
     )
-    given = nodes.select("node", F.xxhash64("node").alias("x"), *ranks)
-    led = settle(given.select("node", "x").join(led, "x"), "jaccard-led")
-    pairs = [
-        led.select("node", r).join(given.select(F.col("node").alias("hub"), r), r).select("node", "hub")
-        for r in names
-    ]
+    a, b = F.col("a.node"), F.col("b.node")
     return settle(
-        reduce(DataFrame.union, pairs)
-        .filter("node <> hub")
-        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        .distinct(),
+        pairs.filter(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(),
         "jaccard-hub-pairs",
     )
 
 
-def _crossing_pairs(nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of different components that share a block and that sizes and short
-    sketches do not rule out."""
-    root = F.coalesce("root", "node")
+def _crossing_pairs(
+    shared: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int
+) -> DataFrame:
+    """(a, b): all pairs of different components that share a key and that sizes and short sketches
+    do not rule out."""
     placed = settle(
-        nodes.join(roots, "node", "left").select(
-            "node", "n", "fold", F.concat("own", "less").alias("keys"), F.xxhash64(root).alias("c")
-        ),
+        nodes.join(roots, "node", "left").withColumn("c", F.xxhash64(F.coalesce("root", "node"))),
         "jaccard-placed",
     )
-    keyed = placed.select("c", F.explode("keys").alias("key"))
-    met = settle(
-        keyed.groupBy("key")
+    held = shared.join(placed.select("x", "c"), "x")
+    crossed = settle(
+        held.groupBy("key")
         .agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
         .filter("lo < hi")
         .select("key"),
-        "jaccard-keys",
-    )
-    open_ = settle(
-        placed.select("node", "n", "fold", "c", F.explode("keys").alias("key")).join(met, "key"),
-        "jaccard-open",
+        "jaccard-crossed",
     )
-    a, b = open_.alias("a"), open_.alias("b")
-
-    def apart(i: int) -> Column:
-        return F.bit_count(F.col("a.fold")[i].bitwiseXOR(F.col("b.fold")[i]))
-
-    distance = reduce(add, [apart(i) for i in range(FOLD_BITS // 64)])
-    sizes = F.col("a.n") + F.col("b.n")
+    # A pair that shares one of its lowest keys meets at the lowest of them only.
+    rows = settle(held.join(crossed, "key"), "jaccard-crossing-keys")
+    lowest = rows.groupBy("x").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LOWEST).alias("low"))
+    met = rows.join(placed.drop("c").join(lowest, "x"), "x").drop("x")
+    met = settle(met.select("key", "node", "n", "fold", "c", "low"), "jaccard-met")
+    a, b = met.alias("a"), met.alias("b")
+    common = F.array_min(F.array_intersect("a.low", "b.low"))
     return settle(
         a.join(
             b,
             (F.col("a.key") == F.col("b.key"))
             & (F.col("a.node") < F.col("b.node"))
             & (F.col("a.c") != F.col("b.c"))
-            & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-            & ((100 + percent) * distance <= (100 - percent) * sizes),
+            & _plausible(percent)
+            & (F.coalesce(common, F.col("a.key")) == F.col("a.key")),
         )
         .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
         .distinct(),
@@ -301,12 +309,19 @@ def jaccard_components(
     """
     given = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     given = given.withColumn("t", F.xxhash64("text"))
-    rows = settle(sketch_rows(given, words, percent), "jaccard-rows")
+    rows = settle(
+        sketch_rows(given, words, percent).withColumn("x", F.xxhash64("node")), "jaccard-rows"
+    )
+    shared = _shared(rows)
     nodes = settle(
-        rows.filter("own IS NOT NULL").dropDuplicates(["node"]).drop("id"), "jaccard-nodes"
+        rows.filter("own IS NOT NULL")
+        .select("node", "x", "n", "t", "fold")
+        .join(shared.select("x").distinct(), "x", "left_semi")
+        .dropDuplicates(["node"]),
+        "jaccard-nodes",
     )
-    links = _verified(_hub_pairs(nodes), nodes, given, words, percent)
-    crossing = _crossing_pairs(nodes, contract(links), percent)
+    links = _verified(_hub_pairs(shared, nodes, percent), nodes, given, words, percent)
+    crossing = _crossing_pairs(shared, nodes, contract(links), percent)
     links = links.union(_verified(crossing, nodes, given, words, percent))
     roots = contract(links)
 

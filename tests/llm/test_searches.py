@@ -264,8 +264,10 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch):
     given = near_copies()
     want = plain_components([(d, plain_set(t)) for d, t, *_ in given])
     for hubs in (3, 1):
-        monkeypatch.setattr(parity, "HUB_BLOCKS", hubs)
+        monkeypatch.setattr(parity, "HUBS", hubs)
         monkeypatch.setattr(parity, "SEEN", 10 * hubs)
+        monkeypatch.setattr(parity, "SENT_TEXTS", 50 if hubs == 1 else 1 << 20)
+        monkeypatch.setattr(parity, "LOWEST", hubs)
         got = parity.jaccard_components(documents(spark, given)).collect()
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
     assert max(Counter(c for *_, c in want).values()) >= 20
@@ -283,7 +285,7 @@ def test_other_thresholds(spark):
 def test_components_need_no_hubs(spark, monkeypatch):
     """The comparison across components finds by itself every link there is."""
     monkeypatch.setattr(
-        parity, "_hub_pairs", lambda nodes: nodes.selectExpr("node AS a", "node AS b").limit(0)
+        parity, "_hub_pairs", lambda shared, nodes, percent: nodes.selectExpr("node AS a", "node AS b").limit(0)
     )
     given = near_copies()
     got = parity.jaccard_components(documents(spark, given)).collect()
