@@ -15,11 +15,13 @@ Three tools:
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from operator import or_
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,6 +147,14 @@ def hot_split_join(
     return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
 
 
+def side_by_side(*jobs: Callable[[], object]) -> None:
+    """Runs jobs that do not need each other at the same time, so that one fills the cores that
+    another leaves idle."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(inheritable_thread_target(job)) for job in jobs]:
+            done.result()
+
+
 def in_list(column: str, values: Sequence, spark: SparkSession) -> Column:
     """``column IN values`` in a form that prunes Parquet pages value by value.
 

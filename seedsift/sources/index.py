@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seedsift.functions.text import long_enough, space_tokens, whitespace_tokens
-from seedsift.plans.bounded import in_list, settle
+from seedsift.plans.bounded import in_list, settle, side_by_side
 from seedsift.sources.pruned import Bucketed, Clustered, Reach, reach, read_parts, write_parts
 
 
@@ -267,12 +267,17 @@ def index_stored(
     docs = stored.rows.drop("part")
     view = index_view(docs, max_tokens, max_word)
     forward = forward_rows(stored.rows.select("part", "doc_id", "lemmas"))
-    Clustered.write(forward.select("doc_id", "term", "tf", "part"), f"{path}/forward", ["doc_id", "term"])
-    StoredPostings.write(view.text, f"{path}/text")
-    StoredPostings.write(view.title, f"{path}/title")
     n_parts = stored.bounds.count()
-    Bucketed.write(docs.select("id", "doc_id"), f"{path}/ids", "id", n_parts, ["doc_id"])
-    view.tags.sortWithinPartitions("tag", "doc_id").write.mode("overwrite").parquet(f"{path}/tags")
+    tags = view.tags.sortWithinPartitions("tag", "doc_id").write.mode("overwrite")
+    side_by_side(
+        lambda: StoredPostings.write(view.text, f"{path}/text"),
+        lambda: Clustered.write(
+            forward.select("doc_id", "term", "tf", "part"), f"{path}/forward", ["doc_id", "term"]
+        ),
+        lambda: StoredPostings.write(view.title, f"{path}/title"),
+        lambda: Bucketed.write(docs.select("id", "doc_id"), f"{path}/ids", "id", n_parts, ["doc_id"]),
+        lambda: tags.parquet(f"{path}/tags"),
+    )
     return _opened(docs.sparkSession, path, stored)
 
 

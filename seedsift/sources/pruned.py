@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seedsift.plans.bounded import settle
+from seedsift.plans.bounded import in_list, settle
 
 PAGE_ROWS = 1024
 RANGES = 64
+WIDE_RANGES = 12  # a filter of more ranges than this costs more than it saves
 
 
 def write_parts(df: DataFrame, path: str, part: str, order: Sequence[str]) -> None:
@@ -40,9 +41,14 @@ def read_parts(spark: SparkSession, path: str, schema: T.StructType, part: str)
     return spark.read.schema(whole).parquet(path)
 
 
-def in_ranges(key: str, ranges: Sequence[tuple]) -> Column:
-    tests = [F.col(key).between(F.lit(lo), F.lit(hi)) for lo, hi in ranges]
-    return reduce(or_, tests) if tests else F.lit(False)
+def in_ranges(key: str, ranges: Sequence[tuple], spark: SparkSession) -> Column:
+    """A filter that the Parquet reader understands. Ranges of one key each are a list of keys; of
+    wider ones neighbours are joined until few are left."""
+    if all(lo == hi for lo, hi in ranges):
+        return in_list(key, [lo for lo, _ in ranges], spark)
+    step = -(-len(ranges) // WIDE_RANGES)
+    joined = [(ranges[i][0], ranges[min(i + step, len(ranges)) - 1][1]) for i in range(0, len(ranges), step)]
+    return reduce(or_, [F.col(key).between(F.lit(lo), F.lit(hi)) for lo, hi in joined])
 
 
 @dataclass(frozen=True)
@@ -53,7 +59,8 @@ class Reach:
     ranges: list[tuple]
 
     def of(self, rows: DataFrame, part: str, key: str) -> DataFrame:
-        return rows.filter(F.col(part).isin(self.parts)).filter(in_ranges(key, self.ranges))
+        near = in_ranges(key, self.ranges, rows.sparkSession)
+        return rows.filter(F.col(part).isin(self.parts)).filter(near)
 
 
 def reach(keys: DataFrame, part: str, key: str, ranges: int = RANGES) -> Reach:
