@@ -64,3 +64,28 @@ def test_stages_keep_repeated_rows_apart(spark, tmp_path):
         assert stage(spark, nothing, "").count() == 0
     assert corpus_pipeline.encode(spark, docs, "").count() == len(rows())
     assert near.filter(F.col("_row") != "clash").count() == 0
+
+
+def test_quality_stage_on_awkward_and_empty_tables(spark, tmp_path):
+    labels = [(i, i % 2, 0) for i in range(20, 50)] + [(None, 1, 0), (21, None, 0)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet"
+    )
+    docs = documents(spark).withColumn("_pipeline_row", F.lit("theirs"))
+    docs.write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    # Rows with equal texts stay or go together.
+    texts = Counter(repr(r.text) for r in docs.collect())
+    for text, n in Counter(repr(r.text) for r in kept.collect()).items():
+        assert n == texts[text]
+    assert corpus_pipeline.quality(spark, empty(spark), str(tmp_path)).count() == 0
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        left = stage(spark, docs, "")
+        assert left.columns == docs.columns and left.filter("_pipeline_row <> 'theirs'").count() == 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    write(spark, empty(spark), str(tmp_path))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
