@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from seedsift.llm.common import byte_chunks, hex16, lookup, map_batches, settle, text_bytes
 from seedsift.llm.graph import contract
-from seedsift.llm.xxh64 import hash_slices
+from seedsift.llm.shingles import grouped
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -34,28 +34,17 @@ CHUNK_BYTES = 1 << 20  # texts whose shingles are hashed at once
 
 
 def fingerprints(texts: list[bytes], words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
-    """One unsigned 64 bit fingerprint per text; 0 for a text without a word."""
-    out = np.zeros(len(texts), np.uint64)
-    plain = [b" ".join(text.lower().split()) for text in texts]
-    rows = np.array([i for i, text in enumerate(plain) if text], np.int64)
-    if not len(rows):
-        return out
-    joined = b"\n".join(plain[i] for i in rows)
-    data = np.frombuffer(joined + bytes(8), np.uint8)
-    gaps = np.flatnonzero((data[: len(joined)] == 32) | (data[: len(joined)] == 10))
-    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(joined)]))
-    counts = np.array([plain[i].count(b" ") + 1 for i in rows], np.int64)
-    first_word = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    shingles = np.maximum(counts - words + 1, 1)
-    first_shingle = np.concatenate(([0], np.cumsum(shingles)[:-1]))
-    at = np.arange(int(shingles.sum())) - np.repeat(first_shingle - first_word, shingles)
-    last = at + np.repeat(np.minimum(counts, words) - 1, shingles)
-    hashes = hash_slices(data, starts[at], ends[last] - starts[at], seed)
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    ones = np.add.reduceat(bits, first_shingle, axis=0, dtype=np.int32)
-    majority = np.packbits(2 * ones > shingles[:, None], axis=1)
-    out[rows] = majority.view(">u8").ravel()
-    return out
+    """One unsigned 64 bit fingerprint per text; 0 for a text without a word. Votes are counted
+    piece by piece, so a long text takes no more memory than a short one."""
+    ones = np.zeros((len(texts), 64), np.int64)
+    total = np.zeros(len(texts), np.int64)
+    for of, hashed, counts in grouped(texts, words, seed, CHUNK_BYTES):
+        bits = np.unpackbits(hashed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        votes = np.add.reduceat(bits, np.cumsum(counts) - counts, axis=0, dtype=np.int64)
+        np.add.at(ones, of, votes)
+        np.add.at(total, of, counts)
+    majority = np.packbits(2 * ones > total[:, None], axis=1)
+    return majority.view(">u8").ravel().astype(np.uint64)
 
 
 def fingerprint_rows(

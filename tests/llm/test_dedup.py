@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from seedsift.llm import repeats, simhash
 from seedsift.llm.blockname import exact_dedup
 from seedsift.llm.graph import contract
 from seedsift.llm.repeats import matched_windows, remove_repeats
@@ -14,7 +15,7 @@ from seedsift.llm.simhash import close_pairs, fingerprints, simhash_components
 from seedsift.llm.suffix import longest_previous_factors
 from seedsift.llm.xxh64 import hash_slices
 
-from .data import documents, empty, rows
+from .data import documents, empty, prose, rows
 
 
 def test_xxh64_equals_the_library():
@@ -37,6 +38,22 @@ def plain_fingerprint(text):
     )
 
 
+def test_fingerprints_of_long_texts_are_counted_in_pieces(monkeypatch):
+    import tracemalloc
+
+    text = prose(4, 3000)
+    monkeypatch.setattr(simhash, "CHUNK_BYTES", 500)
+    some = [text.encode(), b"", b" \n", b"one", b"one two", text.upper().encode()]
+    assert fingerprints(some).tolist() == [plain_fingerprint(t.decode()) for t in some]
+    monkeypatch.undo()
+    long = (text + " ").encode() * 2000  # 40 MB
+    tracemalloc.start()
+    fingerprints([long])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+
+
 def components(keys, linked):
     root = {k: k for k in keys}
 
@@ -183,6 +200,38 @@ def test_repeats_equal_brute_force(spark, keep_first, max_group):
     assert any(runs for runs, _ in want)
 
 
+@pytest.mark.parametrize("size", [150, 195, 230])
+def test_a_passage_in_ever_new_surroundings(spark, monkeypatch, size):
+    """Solved in many parts; windows go on only where their cells are open."""
+    rng = random.Random(size)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    passage = "".join(rng.choices(letters, k=size))
+    some = []
+    for i in range(400):
+        before, after = ("".join(rng.choices(letters, k=150 + i % 90)) for _ in "xy")
+        some.append((i, before + passage + after, "en", "a"))
+    some[7] = (7, some[9][1][5:], "en", "a")
+    given = documents(spark, some).repartitionByRange(3, "doc_id")
+    local = given.select("doc_id", "text").collect()
+    want = brute_repeats([r.text.encode() for r in local], False)
+    sent = []
+    across = repeats._across_parts
+    monkeypatch.setattr(
+        repeats,
+        "_across_parts",
+        lambda solved, keep_first: sent.append(
+            solved.filter("key IS NOT NULL").selectExpr("sum(size(windows))").first()[0] or 0
+        )
+        or across(solved, keep_first),
+    )
+    got = remove_repeats(given, max_group=20).collect()
+    assert sorted((r.doc_id, bytes(r.kept)) for r in got) == sorted(
+        (r.doc_id, kept) for r, (_, kept) in zip(local, want)
+    )
+    if size == 150:  # no window of 200 bytes lies in the passage
+        assert sent[0] < 1000  # of 55,000
+
+
 def test_repeats_in_long_null_and_no_texts(spark):
     from .data import prose
 
