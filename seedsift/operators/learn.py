@@ -17,7 +17,6 @@ from seedsift.operators.feature_scores import (
     feature_score,
     with_probabilities,
 )
-from seedsift.plans.bounded import keyed_join
 from seedsift.plans.prefix import prefix_sums, ranks
 
 # Spark limits each map task to the best n rows before the shuffle only below this rank.
