@@ -105,3 +105,36 @@ def test_sources_without_words_take_nothing(spark):
     got = {r.doc_id: r for r in mixture(documents(spark, some)).collect()}
     assert (got[1].target, got[1].taken, got[2].taken) == (0, 0, 0)
     assert got[3].target == pytest.approx(3)
+
+
+@pytest.mark.parametrize("n_shards", [24, 7, 1])
+def test_every_row_stands_where_sorting_all_rows_puts_it(spark, n_shards):
+    """The placement itself, by plain sorts over all rows; only the draws come from Spark."""
+    drawn = documents(spark).selectExpr(
+        "doc_id",
+        "octet_length(coalesce(text, '')) + 8 AS size",
+        "crc32(CAST(coalesce(text, '') AS BINARY)) AS crc",
+        "source",
+    )
+    drawn = drawn.selectExpr(
+        "*", "xxhash64(doc_id, crc, CAST(size AS BIGINT), 17) AS draw"
+    ).collect()
+
+    def tail(r):
+        return (r.draw, r.doc_id is not None, r.doc_id or 0, r.size, r.crc)
+
+    sources = {}
+    for r in drawn:
+        sources.setdefault((r.source is None, r.source or ""), []).append(r)
+    rows = []
+    for source, own in sources.items():
+        own.sort(key=lambda r: ((r.draw % 2**64) >> 52, tail(r)))
+        rows += [((rank + 0.5) / len(own), source, tail(r), r) for rank, r in enumerate(own)]
+    rows.sort(key=lambda x: x[:3])
+    want = []
+    for place, (*_, r) in enumerate(rows):
+        shard = place * n_shards // len(rows)
+        slot = place - (shard * len(rows) + n_shards - 1) // n_shards
+        want.append((repr(r.doc_id), r.size, r.crc, shard, slot))
+    got = interleaved_shards(documents(spark), n_shards).collect()
+    assert sorted((repr(r.doc_id), r.size, r.text_crc32, r.shard, r.slot) for r in got) == sorted(want)
