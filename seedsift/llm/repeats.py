@@ -11,8 +11,10 @@ anchors can repeat each other. A stretch is the run of windows that share one an
 3. Where different stretches share an anchor, their bytes are fetched, one stretch of each kind,
    and the longest-previous-factor array of each group says which windows have an earlier match
    and where. A group of more kinds than ``MAX_GROUP`` (a common passage in ever new surroundings)
-   is solved in parts of about that size; windows that stay alone in their part are then counted
-   over all parts by an aggregate.
+   is solved in parts of about that size; windows that stay alone in their part may still repeat in
+   another. Which can is told by a few keys of each kind: windows that reach about as far to the
+   left of the anchor form a cell, and equal windows agree on the bytes that all windows of their
+   cell hold. Only windows of cells whose bytes several kinds have are counted over all parts.
 4. Covered bytes are cut out of the texts.
 """
 
@@ -100,6 +102,16 @@ def stretches(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: in
     return first, last, hashes[where], digest, hashes
 
 
+def _mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``map_batches`` in which Arrow gives memory back as soon as a batch is done with."""
+
+    def lean(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(batches)
+
+    return map_batches(df, lean, schema)
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """(row, id, packed): compressed texts, for a join by row."""
 
@@ -116,7 +128,7 @@ def _packed(docs: DataFrame) -> DataFrame:
                     [*ids, pa.array(packed, pa.binary())], ["row", "id", "packed"]
                 )
 
-    return map_batches(
+    return _mapped(
         docs.select("row", "id", "text"), run, "row bigint, id bigint, packed binary"
     )
 
@@ -126,6 +138,15 @@ def _unpacked(packed: bytes) -> bytes:
     return pa.decompress(packed[8:], size, "zstd", asbytes=True) if size else b""
 
 
+ROWS = 512  # texts that are unpacked before their results go on
+
+
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _runs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ranges of windows, sorted, joined where they touch."""
     order = np.argsort(lo, kind="stable")
@@ -209,17 +230,17 @@ def _local(docs: DataFrame, width: int) -> DataFrame:
                     )
 
     names = ["row", "lo", "hi", "key", "digest", "n", "local_lo", "local_hi"]
-    return map_batches(docs.select("row", "text"), run, FOUND)
+    return _mapped(docs.select("row", "text"), run, FOUND)
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The wanted stretches with their bytes."""
     asked = wanted.groupBy("row").agg(
-        F.collect_list(F.struct("lo", "hi", "key", "parts", "single")).alias("asked")
+        F.collect_list(F.struct("lo", "hi", "key", "parts", "single", "cells")).alias("asked")
     )
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = {name: [] for name in kinds}
             for row, packed, asked in zip(
                 *[batch.column(name).to_pylist() for name in ("row", "packed", "asked")]
@@ -227,7 +248,7 @@ def _fetched(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 text = _unpacked(packed)
                 for ask in asked:
                     out["row"].append(row)
-                    for name in ("lo", "key", "parts", "single"):
+                    for name in ("lo", "key", "parts", "single", "cells"):
                         out[name].append(ask[name])
                     out["bytes"].append(text[ask["lo"] : ask["hi"] + width])
             yield pa.RecordBatch.from_arrays(
@@ -240,12 +261,14 @@ def _fetched(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         "key": pa.int64(),
         "parts": pa.int64(),
         "single": pa.bool_(),
+        "cells": pa.list_(pa.int64()),
         "bytes": pa.binary(),
     }
-    return map_batches(
+    return _mapped(
         _packed(docs).join(asked, "row"),
         run,
-        "row bigint, lo bigint, key bigint, parts bigint, single boolean, bytes binary",
+        "row bigint, lo bigint, key bigint, parts bigint, single boolean, cells array<bigint>,"
+        " bytes binary",
     )
 
 
@@ -268,6 +291,66 @@ def matched_windows(parts: list[bytes], width: int, keep_first: bool) -> list[np
     return [np.flatnonzero(covered[i : i + n]) for i, n in zip(starts, sizes)]
 
 
+SENT_ROWS = 1 << 20  # eight bytes each; more are not broadcast
+CELL = 17  # windows of a cell start at so many neighbouring bytes
+
+
+def cell_keys(data: bytes, key: int, n_windows: int, width: int) -> tuple[int, list[int]]:
+    """(offset of the anchor, keys): per cell of a stretch's windows a hash of the bytes around the
+    anchor that each of them holds. ``key`` is the anchor's hash; window ``w`` of the stretch, which
+    starts at its byte ``w``, lies in cell ``(offset - w) // CELL``, the first key is of the last
+    window's cell. Equal windows of two stretches lie in equal cells with equal keys."""
+    found = anchor_hashes(np.frombuffer(data[:width], np.uint8))
+    at = int(np.flatnonzero(found == np.uint64(key & (1 << 64) - 1))[0])
+    keys = []
+    for cell in range((at - n_windows + 1) // CELL, at // CELL + 1):
+        left = cell * CELL
+        right = max(0, width - ANCHOR - (left + CELL - 1))
+        around = data[at - left : at + ANCHOR + right]
+        mark = hashlib.blake2b(around, digest_size=8, salt=cell.to_bytes(2, "little"))
+        keys.append(int.from_bytes(mark.digest(), "little", signed=True))
+    return at, keys
+
+
+def _open_cells(docs: DataFrame, parted: DataFrame, width: int) -> DataFrame:
+    """(row, lo, cells): of the stretches of groups that are solved in parts, the keys of cells that
+    another stretch of the group has, too. Only the texts of these stretches are fetched."""
+    owners = parted.select("row").distinct()
+    if owners.count() <= SENT_ROWS:
+        owners = F.broadcast(owners)
+    fetched = _fetched(
+        docs.join(owners, "row", "left_semi").withColumn("id", F.lit(None).cast("bigint")),
+        parted.withColumn("cells", F.lit(None).cast("array<bigint>")),
+        width,
+    )
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pydict()
+            keys = [
+                cell_keys(data, key, len(data) - width + 1, width)[1]
+                for data, key in zip(rows["bytes"], rows["key"])
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("row", "lo", "key")), pa.array(keys, pa.list_(pa.int64()))],
+                ["row", "lo", "key", "cells"],
+            )
+
+    found = _mapped(
+        fetched.select("row", "lo", "key", "bytes"),
+        run,
+        "row bigint, lo bigint, key bigint, cells array<bigint>",
+    )
+    cells = settle(found.select("row", "lo", "key", F.explode("cells").alias("cell")), "cells")
+    shared = cells.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return settle(
+        cells.join(shared, ["key", "cell"])
+        .groupBy("row", "lo")
+        .agg(F.collect_list("cell").alias("cells")),
+        "open-cells",
+    )
+
+
 SOLVED = (
     "row bigint, lo bigint, hi bigint, key bigint, "
     "windows array<struct<row: bigint, lo: bigint, window: bigint, done: boolean>>"
@@ -277,15 +360,20 @@ PACKED_WINDOWS = 256
 
 def _lpf(stretches: DataFrame, width: int, keep_first: bool) -> DataFrame:
     """Ranges of repeated windows (``key`` NULL), and of each group that is solved in parts the
-    windows of each part, once each, at their first place there, many in a row; ``done`` tells which
-    of these need no look at other parts."""
+    windows of each part that may be in others, once each, at their first place there, many in a
+    row; ``done`` tells which of these need no look at other parts."""
 
     def distinct_windows(rows, i, j, covered):
-        """Of the stretches i to j, one part of a group."""
+        """Of the stretches i to j, one part of a group; of their windows those of open cells."""
         hashes, place = [], []
         for k in range(i, j):
             data = np.frombuffer(rows["bytes"][k], np.uint8)
-            at = np.arange(len(data) - width + 1)
+            n = len(data) - width + 1
+            offset, keys = cell_keys(rows["bytes"][k], rows["key"][k], n, width)
+            is_open = np.isin(np.array(keys, np.int64), rows["cells"][k] or [])
+            first_cell = (offset - n + 1) // CELL
+            at = np.arange(n)
+            at = at[is_open[(offset - at) // CELL - first_cell]]
             hashes.append(window_hashes(anchor_hashes(data), at, width))
             place.append(at)
         owner = np.repeat(np.arange(i, j), [len(at) for at in place])
@@ -374,7 +462,7 @@ def _lpf(stretches: DataFrame, width: int, keep_first: bool) -> DataFrame:
         [("row", pa.int64()), ("lo", pa.int64()), ("window", pa.int64()), ("done", pa.bool_())]
     )
     columns = ["row", "lo", "hi", "key", "windows"]
-    names = ["row", "lo", "key", "part", "parts", "single", "bytes"]
+    names = ["row", "lo", "key", "part", "parts", "single", "bytes", "cells"]
     part = F.pmod(F.xxhash64("row", "lo"), F.col("parts"))
     grouped = (
         stretches.withColumn("part", part)
@@ -382,7 +470,7 @@ def _lpf(stretches: DataFrame, width: int, keep_first: bool) -> DataFrame:
         .repartition("key", "part")
         .sortWithinPartitions("key", "part", "row", "lo")
     )
-    return map_batches(grouped, run, SOLVED)
+    return _mapped(grouped, run, SOLVED)
 
 
 def _across_parts(solved: DataFrame, keep_first: bool) -> DataFrame:
@@ -411,7 +499,7 @@ def _cut(docs: DataFrame, spans: DataFrame, width: int, with_text: bool) -> Data
     """Every document with its removed byte ranges and the digest of what is left."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = {name: [] for name in kinds}
             for packed, lo, hi in zip(
                 *[batch.column(name).to_pylist() for name in ("packed", "lo", "hi")]
@@ -448,7 +536,7 @@ def _cut(docs: DataFrame, spans: DataFrame, width: int, with_text: bool) -> Data
         "kept": pa.binary(),
     }
     whole = _packed(docs).join(spans, "row", "left")
-    return map_batches(
+    return _mapped(
         whole.select("row", "id", "packed", "lo", "hi"),
         run,
         "row bigint, id bigint, n_bytes bigint, n_removed bigint, removed_from array<bigint>, "
@@ -487,6 +575,10 @@ def repeated_windows(
         single.alias("single"),
         F.ceil(F.col("kinds") / max_group).cast("bigint").alias("parts"),
     )
+    parted = settle(wanted.filter("parts > 1"), "parted")
+    opened = parted.join(_open_cells(docs, parted, width), ["row", "lo"], "left")
+    none = F.lit(None).cast("array<bigint>")
+    wanted = wanted.filter("parts = 1").withColumn("cells", none).unionByName(opened)
     solved = settle(_lpf(_fetched(docs, wanted, width), width, keep_first), "solved")
     return (
         inside.select("row", F.col("r.local_lo").alias("lo"), F.col("r.local_hi").alias("hi"))
