@@ -147,11 +147,11 @@ def hot_split_join(
     return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
 
 
-def side_by_side(*jobs: Callable[[], object]) -> None:
+def side_by_side(spark: SparkSession, *jobs: Callable[[], object]) -> None:
     """Runs jobs that do not need each other at the same time, so that one fills the cores that
     another leaves idle."""
     with ThreadPoolExecutor(len(jobs)) as pool:
-        for done in [pool.submit(inheritable_thread_target(job)) for job in jobs]:
+        for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]:
             done.result()
 
 

@@ -270,6 +270,7 @@ def index_stored(
     n_parts = stored.bounds.count()
     tags = view.tags.sortWithinPartitions("tag", "doc_id").write.mode("overwrite")
     side_by_side(
+        docs.sparkSession,
         lambda: StoredPostings.write(view.text, f"{path}/text"),
         lambda: Clustered.write(
             forward.select("doc_id", "term", "tf", "part"), f"{path}/forward", ["doc_id", "term"]
