@@ -183,6 +183,32 @@ def test_each_text_moves_its_own_weights_for_words_and_letters():
         assert score == pytest.approx(want, rel=2e-5)
 
 
+def test_first_weights_are_one_newton_step_over_all_decisions():
+    texts = [prose(i % 7, 90).encode() for i in range(40)]
+    tables = small_tables(texts[:20])
+    total = np.zeros(mixer.MOMENTS, np.int64)
+    for some in (texts[20:23], texts[23:]):
+        mixer.add_moments(total, tables, mixer.Tokens(some, tables.head))
+    got = mixer.first_mixer(total.astype(np.float64))
+    tokens = mixer.Tokens(texts[20:], tables.head)
+    parts = mixer.Stream(tables, tokens).of(0, len(tokens.ids))
+    for start, found, (x, gate, _) in zip(mixer.Mixer().weights, got.weights, parts):
+        for g, w in enumerate(start.astype(np.float64)):
+            rows = x[gate == g].astype(np.float64)
+            error = 1 / (1 + np.exp(rows @ w))
+            curve = (rows * (error * (1 - error))[:, None]).T @ rows
+            step = np.linalg.solve(curve + mixer.RIDGE * np.eye(len(w)), error @ rows)
+            assert found[g] == pytest.approx(w + step, abs=1e-3)
+
+
+def test_long_texts_teach_the_first_weights_too(spark):
+    texts = [prose(i, 4000) for i in range(6)]
+    assert min(map(len, texts)) > 16 << 10  # a sample of shorter texts taught them before
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    learned = train_model(docs).mixer.weights
+    assert any(not np.allclose(w, s, atol=1e-3) for w, s in zip(learned, mixer.Mixer().weights))
+
+
 def test_token_probabilities_add_up_to_one():
     tables = small_tables([b"a b a b a c c", b"a b d d"])
     head = tables.head
