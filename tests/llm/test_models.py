@@ -209,6 +209,45 @@ def test_long_texts_teach_the_first_weights_too(spark):
     assert any(not np.allclose(w, s, atol=1e-3) for w, s in zip(learned, mixer.Mixer().weights))
 
 
+def test_words_of_a_chunk_are_those_between_white_space():
+    texts = [b"", b" ", b"A b", b"\n a\t\tB\x0b\x0cb\r", "É é\x85x\u00a0y".encode(), b"a\x1cb\x00c \xff a"]
+    tokens = mixer.Tokens(texts)
+    words, ids = tokens.words.to_pylist(), tokens.ids.tolist()
+    assert len(set(words)) == len(words)
+    for text, first, n in zip(texts, tokens.starts, tokens.sizes):
+        assert [words[i] for i in ids[first : first + n]] == [*text.lower().split(), mixer.END]
+    assert len(mixer.Tokens([]).ids) == 0
+
+
+def test_first_weights_look_up_what_repeats_once(monkeypatch):
+    texts = [f"{prose(1, 30)} rare words once ".encode() * 50] * 4
+    tables = small_tables([prose(i % 7, 90).encode() for i in range(20)])
+    looked, found = [], mixer.head_slots
+
+    def counted(*given):
+        looked.append(len(found(*given)[0]))
+        return found(*given)
+
+    monkeypatch.setattr(mixer, "head_slots", counted)
+    tokens = mixer.Tokens(texts, tables.head)
+    mixer.add_moments(np.zeros(mixer.MOMENTS, np.int64), tables, tokens)
+    assert sum(looked) < len(tokens.ids)
+
+
+def test_scores_hold_the_letters_of_a_long_text_piece_by_piece(monkeypatch):
+    tables = small_tables([prose(i % 7, 90).encode() for i in range(20)])
+    held, build = [], mixer.Letters.__init__
+
+    def measured(self, *given):
+        build(self, *given)
+        held.append(len(self.bit))
+
+    monkeypatch.setattr(mixer.Letters, "__init__", measured)
+    text = b" ".join(b"xq%dzj" % i for i in range(100_000))
+    mixer.log_probabilities(tables, mixer.Mixer(), mixer.Tokens([text], tables.head))
+    assert max(held) < sum(held) / 4
+
+
 def test_token_probabilities_add_up_to_one():
     tables = small_tables([b"a b a b a c c", b"a b d d"])
     head = tables.head
